@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import embedding_dedup, hnsw, jaccard_join, mixing, packing, sharding, token_counts
+from folioscan.llm import embedding_dedup, hnsw, jaccard_join, mixing, packing, quality, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -43,7 +47,7 @@ def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op4_jaccard_join, op5_mixing, op6_sharding, op8_packing, op9_hnsw)}
+    return {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op4_jaccard_join, op5_mixing, op6_sharding, op7_quality, op8_packing, op9_hnsw)}
 
 
 def oracle_sql() -> dict[str, str]:

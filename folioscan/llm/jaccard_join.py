@@ -90,9 +90,10 @@ def _classed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
+            uids = batch.column(2)
             for i, j, data, at in text_slices(batch.column(1)):
                 n, c = _class_ids(*shingle_sets(data, at, width))
-                yield pa.RecordBatch.from_arrays([ids[i:j].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(c, mask=n == 0)], ["doc_id", "n", "cls"])
+                yield pa.RecordBatch.from_arrays([ids[i:j].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(c, mask=n == 0), uids[i:j]], ["doc_id", "n", "cls", "uid"])
 
     return run
 
@@ -386,22 +387,32 @@ def links(classes: DataFrame, sets: DataFrame, percent: int, region_shingles: in
     return pairs.groupBy("region", "i", "j").applyInPandas(_region(percent), "cls long, links long, root long")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 70, region_shingles: int = REGION_SHINGLES) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, n_similar, component_id. See the module's text for every case."""
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 70, region_shingles: int = REGION_SHINGLES) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, n_similar, component_id, uid (monotonically_increasing_id of docs), and
+    first: whether this row is the one of its component with the least doc_id (null last; then the least uid)."""
     spark = docs.sparkSession
     docs = columns(docs, id_col, text_col)
-    each = written(docs.mapInArrow(_classed(width), "doc_id long, n long, cls long"), "jaccard-classes")
-    classes = written(each.where("cls IS NOT NULL").groupBy("cls").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least"), F.first("n").alias("n")), "jaccard-weights")
+    each = written(docs.withColumn("_uid", F.monotonically_increasing_id()).mapInArrow(_classed(width), "doc_id long, n long, cls long, uid long"), "jaccard-classes")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
+    classes = written(each.where("cls IS NOT NULL").groupBy("cls").agg(F.count(F.lit(1)).alias("weight"), F.min(order).alias("least"), F.first("n").alias("n")).select("cls", "weight", F.col("least.doc_id").alias("least"), F.col("least.uid").alias("first"), "n"), "jaccard-weights")
     total = classes.agg(F.sum("n")).first()[0] or 0
     shards = int(min(32_000, max(partitions(spark), -(-total // 4_000_000))))
-    dealt = docs.select(text_col).mapInArrow(_dealt(width, shards), _DEALT)
+    dealt = docs.select(F.col(f"`{text_col}`")).mapInArrow(_dealt(width, shards), _DEALT)
     shared = dealt.groupBy("shard").applyInPandas(_shared(shards, shards), "bucket int, shard int, ids binary, counts binary, sizes binary, hashes binary, df binary")
     sets = written(shared.groupBy("bucket").applyInPandas(_kept(shards, percent), "cls long, n long, k long, hashes binary"), "jaccard-sets")
     found = written(links(classes, sets, percent, region_shingles), "jaccard-links")
     linked = found.where("root IS NULL").groupBy("cls").agg(F.sum("links").alias("links"))
     comp = components(found.where("root IS NOT NULL").select(F.col("cls").alias("a"), F.col("root").alias("b")), "jaccard-edges").withColumnRenamed("v", "cls")
-    least = comp.join(classes.select("cls", "least"), "cls").groupBy("c").agg(F.min("least").alias("lowest"))
-    result = classes.select("cls", "weight", "least").join(linked, "cls", "left").join(comp.join(least, "c").select("cls", "lowest"), "cls", "left")
-    result = result.select("cls", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_similar"), F.coalesce("lowest", "least").alias("component_id"))
+    lowest = F.min(F.struct(F.col("least").isNull(), "least", "first")).alias("low")
+    least = comp.join(classes.select("cls", "least", "first"), "cls").groupBy("c").agg(lowest)
+    result = classes.select("cls", "weight", "least", "first").join(linked, "cls", "left").join(comp.join(least, "c").select("cls", "low"), "cls", "left")
+    own = F.col("low").isNull()
+    result = result.select("cls", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_similar"), F.when(own, F.col("least")).otherwise(F.col("low.least")).alias("component_id"), F.when(own, F.col("first")).otherwise(F.col("low.first")).alias("first"))
     out = each.join(result, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    alone = F.col("cls").isNull()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "uid", (alone | (F.col("uid") == F.col("first"))).alias("first"))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 70, region_shingles: int = REGION_SHINGLES) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, n_similar, component_id. See the module's text for every case."""
+    return grouped(docs, id_col, text_col, width, percent, region_shingles).drop("uid", "first")

@@ -42,22 +42,34 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], factor: float, most: int
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), factor: float = 1.5, most: int = 2, seed: int = 1) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: a row per document, those with 0 copies too."""
+    """uid (monotonically_increasing_id of docs), doc_id, source, size, source_size, target, copies, taken: a row per row of docs, those with 0 copies too."""
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORDS)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"))
     spot = rows.withColumn("group", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
-    placed = ranked(spot, "group", ["size", "doc_id"], "mix")
+    placed = ranked(spot, "group", ["size", "doc_id", "uid"], "mix")
     # Sources are few beside documents; their weights need their order over all of them.
     sizes = placed.groupBy("group").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     wanted = targets(sizes.drop("group"), weights, factor, most).withColumn("group", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
-    offset = (F.pmod(F.xxhash64("group", F.lit(seed)), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    offset = (F.conv(F.substring(F.md5(F.concat("group", F.lit(f"/{seed}"))), 1, 5), 16, 10).cast("long") + 0.5) / (1 << 20)
     wanted = wanted.withColumn("each", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("offset", offset)
     out = placed.join(wanted.drop("source", "n"), "group")
     copies = (F.floor(F.col("offset") + (F.col("rank") + 1) * F.col("each")) - F.floor(F.col("offset") + F.col("rank") * F.col("each"))).alias("copies")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select("uid", "doc_id", "source", "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def emitted(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Needs ids that are not null and of one row each."""
-    times = mixed.where("copies > 0").select(F.col("doc_id").alias("_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
-    return columns(docs, *docs.columns).join(times, F.col(f"`{id_col}`") == F.col("_id")).drop("_id", "_copy")
+def emitted(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of docs, read from files, each as often as mix(docs) takes it."""
+    times = mixed.where("copies > 0").select(F.col("uid").alias("_uid"), F.col("copies").alias("_copies"))
+    rows = docs.withColumn("_uid", F.monotonically_increasing_id()).join(times, "_uid")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+ORACLE = """WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT *, CASE i % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE - 2 * coalesce(sum(source_size) OVER o, 0)::DOUBLE) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0))::DOUBLE AS level FROM w WINDOW o AS (ORDER BY source_size / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT arg_min(level, source_size / w) FILTER (WHERE w * level < 2 * source_size) AS level FROM l),
+t AS (SELECT l.source, l.source_size, CASE WHEN l.w * l.level >= 2 * l.source_size THEN (2 * l.source_size)::DOUBLE ELSE l.w * f.level END AS target,
+(('0x' || substr(md5(CASE WHEN l.source IS NULL THEN 'n' ELSE 's' || l.source END || '/1'), 1, 5))::BIGINT + 0.5::DOUBLE) / 1048576 AS off FROM l, f),
+r AS (SELECT d.*, t.source_size, t.target, t.off, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS each, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) - 1 AS k FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, ((floor(off + (k + 1) * each) - floor(off + k * each)) * size)::BIGINT AS taken, source FROM r"""

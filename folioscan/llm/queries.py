@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import embedding_dedup, hnsw, jaccard_join, mixing, packing, quality, sharding, token_counts
+from folioscan.llm import embedding_dedup, hnsw, jaccard_join, language_id, licenses, mixing, packing, quality, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(_table(spark, sf_dir, "documents"))
 
@@ -46,9 +50,13 @@ def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op4_jaccard_join, op5_mixing, op6_sharding, op7_quality, op8_packing, op9_hnsw)}
+    return {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_language_id, op4_jaccard_join, op5_mixing, op6_sharding, op7_quality, op8_packing, op9_hnsw, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": mixing.ORACLE, "op10_licenses": licenses.oracle()}

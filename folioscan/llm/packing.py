@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm._common import columns, written
-from folioscan.llm.pretokens import WORD_PATTERN, Pretokens, by_size
+from folioscan.llm.pretokens import WORD_PATTERN, Pretokens, by_size, encoded, tokenizer
 
 PARTITION, FAN, ROUNDS = 400_000, 8, 4
 _workers: dict[str, Pretokens] = {}
@@ -32,10 +32,33 @@ def _bytes(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def _joined(path: str):
+    """Ids of many words, as bytes: the words are encoded as texts of 400, and cut after each id that ends a word."""
+    vocab = tokenizer(path).get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    for token, k in vocab.items():
+        ends[k] = token.endswith("</w>")
+
+    def many(words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        runs = [words[i : i + 400] for i in range(0, len(words), 400)]
+        for run, ids in zip(runs, encoded(path, [" ".join(r) for r in runs])):
+            a = np.array(ids, "<u4")
+            cuts = (np.flatnonzero(ends[a]) * 4 + 4).tolist()
+            if len(cuts) != len(run):  # no file of this kind of tokenizer gives that
+                out += map(_bytes, encoded(path, run))
+                continue
+            all_ids = a.tobytes()
+            out += [all_ids[i:j] for i, j in zip([0, *cuts], cuts)]
+        return out
+
+    return many
+
+
 def _pieces(path: str, end: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _workers:
-            _workers[path] = Pretokens(path, WORD_PATTERN, True, _bytes)
+            _workers[path] = Pretokens(path, WORD_PATTERN, True, _bytes, many=_joined(path))
         worker, last, width = _workers[path], _bytes([end]), 4 * capacity
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]

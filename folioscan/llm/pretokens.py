@@ -15,7 +15,7 @@ SPACE = "\\t-\\r "
 #: Not in the ranges for which the patterns below are known to agree with the tokenizers.
 UNSAFE = re.compile("[^\\t-\\r -~¡-įı-ſ‐-‧‰-⁞€]")
 BYTE_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-WORD_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+")
+WORD_PATTERN = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+")
 #: Entries of a worker's cache; when it is full it starts anew.
 CACHED = 600_000
 
@@ -43,10 +43,11 @@ def encoded(path: str, texts: list[str]) -> list[list[int]]:
 
 
 class Pretokens:
-    """Splits texts, and keeps make(ids) for each pre-token."""
+    """Splits texts, and keeps make(ids) for each pre-token. many: makes it of a list of pre-tokens at once."""
 
-    def __init__(self, path: str, pattern: re.Pattern, lower: bool, make, known: dict | None = None):
+    def __init__(self, path: str, pattern: re.Pattern, lower: bool, make, known: dict | None = None, many=None):
         self.path, self.find, self.lower, self.make = path, pattern.findall, lower, make
+        self.many = many or (lambda parts: map(make, encoded(path, parts)))
         self.special = special(path)
         self.known = known or {}
         self.cache: dict = dict(self.known)
@@ -68,9 +69,9 @@ class Pretokens:
         if len(self.cache) + len(fresh) > CACHED:
             self.cache = dict(self.known)
             fresh = list(new.difference(self.cache))
-        for i in range(0, len(fresh), 2000):
-            some = fresh[i : i + 2000]
-            self.cache.update(zip(some, map(self.make, encoded(self.path, some))))
+        for i in range(0, len(fresh), 20_000):
+            some = fresh[i : i + 20_000]
+            self.cache.update(zip(some, self.many(some)))
         get = self.cache.__getitem__
         return [list(map(get, p)) if p is not None else [self.make(x) for x in encoded(self.path, [t])] for p, t in zip(parts, texts)]
 

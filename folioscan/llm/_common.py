@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import os
 import tempfile
 import uuid
@@ -19,6 +22,35 @@ ONE_TASK_EDGES = 2_000_000
 M64 = (1 << 64) - 1
 
 
+def release() -> None:
+    """Gives freed memory back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def frugal(run):
+    """run, a function over batches or one group, that releases memory when it's done."""
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def over(batches):
+            yield from run(batches)
+            release()
+
+        return over
+
+    @functools.wraps(run)
+    def once(*args):
+        out = run(*args)
+        release()
+        return out
+
+    return functools.wraps(run)(lambda x: once(x)) if run.__code__.co_argcount == 1 else functools.wraps(run)(lambda x, y: once(x, y))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset (local tests), one in the temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

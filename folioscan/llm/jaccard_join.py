@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm._common import columns, components, forest, mixed, partitions, text_slices, united, word_spans, written
+from folioscan.llm._common import columns, components, forest, frugal, mixed, partitions, text_slices, united, word_spans, written
 
 #: Shingles that a region may hold to be joined in one task (8 bytes each); documents that are joined as one matrix.
 REGION_SHINGLES = 4_000_000
+#: Shingles of a shard in which documents' shingles are matched.
+SHARD = 1_500_000
 LEAF = 768
 PIVOTS = 12
 DEPTH = 6
@@ -91,7 +93,7 @@ def _classed(width: int):
         for batch in batches:
             ids = batch.column(0)
             uids = batch.column(2)
-            for i, j, data, at in text_slices(batch.column(1)):
+            for i, j, data, at in text_slices(batch.column(1), 1_000_000):
                 n, c = _class_ids(*shingle_sets(data, at, width))
                 yield pa.RecordBatch.from_arrays([ids[i:j].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(c, mask=n == 0), uids[i:j]], ["doc_id", "n", "cls", "uid"])
 
@@ -113,7 +115,7 @@ def _dealt(width: int, shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, at in text_slices(batch.column(0)):
+            for _, _, data, at in text_slices(batch.column(0), 1_000_000):
                 h, at = shingle_sets(data, at, width)
                 n, c = _class_ids(h, at)
                 _, once = np.unique(c, return_index=True)
@@ -358,8 +360,8 @@ def _cut(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(classes: DataFrame, sets: DataFrame, percent: int, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """(cls, links, root): weight linked with, where root is null; else an edge."""
     spark = sets.sparkSession
-    prefix = sets.select("cls", "n", "k", "hashes").mapInPandas(_prefixes(percent), "h long, cls long")
-    stars = prefix.repartition(partitions(spark), "h").mapInPandas(_stars, "a long, b long")
+    prefix = sets.select("cls", "n", "k", "hashes").mapInPandas(frugal(_prefixes(percent)), "h long, cls long")
+    stars = prefix.repartition(partitions(spark), "h").mapInPandas(frugal(_stars), "a long, b long")
     regions = written(components(stars, "jaccard-stars").select(F.col("c").alias("region"), F.col("v").alias("cls"), F.lit(True).alias("home")), "jaccard-regions")
     done, shrunk = [], None
     for depth in range(DEPTH):
@@ -384,7 +386,7 @@ def links(classes: DataFrame, sets: DataFrame, percent: int, region_shingles: in
     pairs = at_home.unionByName(member).groupBy("region", "i", "j", "cls").agg(F.max("home").alias("home"))  # one row of each document in a pair of blocks
     # In a pair of blocks (i, j), i <> j, rows of block i are at home and rows of block j are members.
     pairs = pairs.join(sets.select("cls", "n", "hashes"), "cls").join(classes.select("cls", "weight"), "cls")
-    return pairs.groupBy("region", "i", "j").applyInPandas(_region(percent), "cls long, links long, root long")
+    return pairs.groupBy("region", "i", "j").applyInPandas(frugal(_region(percent)), "cls long, links long, root long")
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 70, region_shingles: int = REGION_SHINGLES) -> DataFrame:
@@ -392,14 +394,14 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     first: whether this row is the one of its component with the least doc_id (null last; then the least uid)."""
     spark = docs.sparkSession
     docs = columns(docs, id_col, text_col)
-    each = written(docs.withColumn("_uid", F.monotonically_increasing_id()).mapInArrow(_classed(width), "doc_id long, n long, cls long, uid long"), "jaccard-classes")
+    each = written(docs.withColumn("_uid", F.monotonically_increasing_id()).mapInArrow(frugal(_classed(width)), "doc_id long, n long, cls long, uid long"), "jaccard-classes")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     classes = written(each.where("cls IS NOT NULL").groupBy("cls").agg(F.count(F.lit(1)).alias("weight"), F.min(order).alias("least"), F.first("n").alias("n")).select("cls", "weight", F.col("least.doc_id").alias("least"), F.col("least.uid").alias("first"), "n"), "jaccard-weights")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    shards = int(min(32_000, max(partitions(spark), -(-total // 4_000_000))))
-    dealt = docs.select(F.col(f"`{text_col}`")).mapInArrow(_dealt(width, shards), _DEALT)
-    shared = dealt.groupBy("shard").applyInPandas(_shared(shards, shards), "bucket int, shard int, ids binary, counts binary, sizes binary, hashes binary, df binary")
-    sets = written(shared.groupBy("bucket").applyInPandas(_kept(shards, percent), "cls long, n long, k long, hashes binary"), "jaccard-sets")
+    shards = int(min(32_000, max(partitions(spark), -(-total // SHARD))))
+    dealt = docs.select(F.col(f"`{text_col}`")).mapInArrow(frugal(_dealt(width, shards)), _DEALT)
+    shared = dealt.groupBy("shard").applyInPandas(frugal(_shared(shards, shards)), "bucket int, shard int, ids binary, counts binary, sizes binary, hashes binary, df binary")
+    sets = written(shared.groupBy("bucket").applyInPandas(frugal(_kept(shards, percent)), "cls long, n long, k long, hashes binary"), "jaccard-sets")
     found = written(links(classes, sets, percent, region_shingles), "jaccard-links")
     linked = found.where("root IS NULL").groupBy("cls").agg(F.sum("links").alias("links"))
     comp = components(found.where("root IS NOT NULL").select(F.col("cls").alias("a"), F.col("root").alias("b")), "jaccard-edges").withColumnRenamed("v", "cls")

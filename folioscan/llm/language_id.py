@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscan.llm._common import text_slices, written
+from folioscan.llm._common import frugal, text_slices, written
 
 BUCKETS, PER_LANGUAGE, MOST, PENALTY = 1 << 16, 3_000, 3, 4.0
 _LETTER = re.compile(r"[^\W\d_]")
@@ -70,7 +70,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(texts: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and log probabilities by bucket and language, of texts (text, lang)."""
-    rows = texts.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = texts.mapInArrow(frugal(_counted), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = rows.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).orderBy("lang").toArrow()  # at most BUCKETS entries a language
     langs = found["lang"].to_pylist()
     table = np.zeros((BUCKETS, len(langs)), np.float32)
@@ -156,7 +156,7 @@ def tag(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     drawn = known.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))  # a row per language, as in the model
     model = spark.sparkContext.broadcast(train(drawn.select("text", "lang")))
     schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
-    out = docs.mapInArrow(_tagged(model, [f.name for f in schema.fields], docs.columns.index(text_col)), schema)
+    out = docs.mapInArrow(frugal(_tagged(model, [f.name for f in schema.fields], docs.columns.index(text_col))), schema)
     return out.withColumn("_held_out", F.coalesce(remainder == 1, F.lit(False)))
 
 

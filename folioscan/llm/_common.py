@@ -19,7 +19,8 @@ from pyspark.sql.window import Window
 
 #: Edges up to this number (16 bytes each) are united in one task; beyond it, by star contraction.
 ONE_TASK_EDGES = 2_000_000
-M64 = (1 << 64) - 1
+#: What a worker keeps from task to task, by name. Functions that are frugal() drop it before they run.
+KEPT: dict = {}
 
 
 def release() -> None:
@@ -37,6 +38,7 @@ def frugal(run):
 
         @functools.wraps(run)
         def over(batches):
+            KEPT.clear()
             yield from run(batches)
             release()
 
@@ -44,6 +46,7 @@ def frugal(run):
 
     @functools.wraps(run)
     def once(*args):
+        KEPT.clear()
         out = run(*args)
         release()
         return out

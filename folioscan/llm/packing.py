@@ -21,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm._common import columns, written
+from folioscan.llm._common import KEPT, columns, frugal, written
 from folioscan.llm.pretokens import WORD_PATTERN, Pretokens, by_size, encoded, tokenizer
 
 PARTITION, FAN, ROUNDS = 400_000, 8, 4
-_workers: dict[str, Pretokens] = {}
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -57,9 +56,11 @@ def _joined(path: str):
 
 def _pieces(path: str, end: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _workers:
-            _workers[path] = Pretokens(path, WORD_PATTERN, True, _bytes, many=_joined(path))
-        worker, last, width = _workers[path], _bytes([end]), 4 * capacity
+        key = ("packing", path)
+        if key not in KEPT:
+            KEPT.clear()
+            KEPT[key] = Pretokens(path, WORD_PATTERN, True, _bytes, many=_joined(path))
+        worker, last, width = KEPT[key], _bytes([end]), 4 * capacity
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             row, piece, start, length, crc, ids = [], [], [], [], [], []
@@ -165,7 +166,7 @@ def packed(items: DataFrame, capacity: int, partition: int = PARTITION, rounds:
         parts = max(1, -(-count // partition))
         # The first deal, and each exchange: pieces of FAN partitions come together.
         part = F.pmod(F.xxhash64("uid", F.lit(r)), F.lit(parts)) if r == 0 else F.pmod(F.xxhash64(F.floor(F.col("part") / FAN), F.pmod(F.xxhash64("uid", F.lit(r)), F.lit(-(-parts // max(1, before // FAN))))), F.lit(max(1, parts)))
-        result = written(rest.withColumn("part", part.cast("int")).groupBy("part").applyInPandas(_packed(capacity), "uid long, length long, part int, bin long, offset long, closed boolean, certified boolean"), "packed")
+        result = written(rest.withColumn("part", part.cast("int")).groupBy("part").applyInPandas(frugal(_packed(capacity)), "uid long, length long, part int, bin long, offset long, closed boolean, certified boolean"), "packed")
         open_parts = result.where("NOT certified").select("part").distinct().count()
         last = open_parts <= 1 or r == rounds - 1
         keep = result if last else result.where("closed")

@@ -10,6 +10,7 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,11 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm._common import columns
+from folioscan.llm._common import KEPT, columns
 from folioscan.llm.pretokens import BYTE_PATTERN, Pretokens, by_size, encoded
 
 SAMPLE, TABLE = 2_000, 1 << 16
-_workers: dict[int, Pretokens] = {}
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,11 +43,13 @@ def frequent(texts: DataFrame, path: str, sample: int = SAMPLE, table: int = TAB
 
 
 def _counted(path: str, table, limit: int):
+    key = uuid.uuid4().hex  # of this call; the workers keep its cache
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if table.value is not None and id(table.value) not in _workers:
-            _workers.clear()
-            _workers[id(table.value)] = Pretokens(path, BYTE_PATTERN, False, len, table.value)
-        worker = _workers[id(table.value)]
+        if key not in KEPT:
+            KEPT.clear()
+            KEPT[key] = Pretokens(path, BYTE_PATTERN, False, len, table.value)
+        worker = KEPT[key]
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n: list[int] = []

@@ -43,4 +43,4 @@ def book_number(raw: Column | str) -> Column:
     a = lines(raw)
     whole = F.regexp_replace(F.array_join(a, " "), r"\s+", " ")
     runs = F.transform(F.regexp_extract_all(whole, F.lit(rf"97[89][0-9\s{isbn.DASHES}]{{4,}}[0-9]"), F.lit(0)), isbn.cleaned)
-    return F.coalesce(isbn.extract_lines(a), F.get(F.filter(runs, isbn.acceptable), F.lit(0)))
+    return F.coalesce(isbn.extract_lines(a), F.get(F.filter(runs, lambda x: isbn.acceptable(x)), F.lit(0)))

@@ -159,4 +159,4 @@ def search_lines(lines: Column | str, china_only: bool = True) -> Column:
 
 def text_lines(text: Column | str) -> Column:
     """A page's lines, stripped, without empty ones."""
-    return F.filter(F.transform(F.split(_c(text), "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(_c(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")

@@ -24,7 +24,7 @@ def plausible(value: Column) -> Column:
 
 def bookinfo(text: Column | str) -> Column:
     """struct(isbn, ssid) of an INI text: nothing counts before a section; the first usable value wins."""
-    rows = F.transform(F.split(_c(text), r"\r\n|\n|\r"), F.trim)
+    rows = F.transform(F.split(_c(text), r"\r\n|\n|\r"), lambda x: F.trim(x))
     heads = F.transform(rows, lambda x: x.rlike(r"^\[.*\]$"))
     begin = F.coalesce(F.array_position(heads, True), F.lit(0))
     pairs = F.filter(rows, lambda x, i: (begin > 0) & (i + 1 > begin) & x.contains("=") & ~x.rlike(r"^\[.*\]$"))

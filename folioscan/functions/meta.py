@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscan.functions import isbn
 from folioscan.functions.isbn import _c
@@ -70,7 +71,7 @@ def ids_if_valid(ids: Column, strict: int) -> Column:
     return F.when(isbn.valid_for(ids["isbn"], ids["ssid"], strict), ids)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_any(data: pd.Series) -> pd.Series:
     """The first of TRIED that decodes; else UTF-8 without what is malformed."""
 
@@ -87,7 +88,7 @@ def decode_any(data: pd.Series) -> pd.Series:
     return data.map(one)
 
 
-@F.pandas_udf("text string, encoding string")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))
 def decode_bookinfo(data: pd.Series) -> pd.DataFrame:
     """GB18030, unless that fails or leaves replacement characters; then UTF-8."""
 
@@ -104,7 +105,7 @@ def decode_bookinfo(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(b) for b in data], columns=["text", "encoding"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """The exact compatibility form, which has no built-in expression."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

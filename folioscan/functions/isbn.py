@@ -51,12 +51,13 @@ def cleaned(text: Column | str) -> Column:
     return F.upper(F.regexp_replace(_c(text), "[^0-9Xx]", ""))
 
 
-def _digit(x: Column, at: int) -> Column:
-    return F.expr("0") + F.when(F.substring(x, at, 1) == "X", 10).otherwise(F.substring(x, at, 1).try_cast("int"))
-
-
 def _sum(x: Column, weights: list[int]) -> Column:
-    return reduce(add, [w * _digit(x, i) for i, w in enumerate(weights, 1)])
+    """Weighted digits of a string that begins with as many; null for another."""
+    n = len(weights)
+    value = F.substring(x, 1, n).try_cast("bigint")
+    # Bound by a lambda, so that the cast is done once and not for each digit.
+    digits = lambda v: reduce(add, [w * (F.floor(v / 10 ** (n - i)) % 10 if n - i else v % 10) for i, w in enumerate(weights, 1)])
+    return F.get(F.transform(F.array(value), digits), F.lit(0)).cast("int")
 
 
 _W13 = [1, 3] * 6
@@ -67,7 +68,8 @@ def sound(number: Column | str) -> Column:
     """Whether the check digit of a cleaned number holds; false for null."""
     x = _c(number)
     long = x.rlike("^[0-9]{13}$") & (_sum(x, [*_W13, 1]) % 10 == 0)
-    short = x.rlike("^[0-9]{9}[0-9X]$") & (_sum(x, [*_W10, 1]) % 11 == 0)
+    last = F.when(x.endswith("X"), 10).otherwise(F.substring(x, 10, 1).try_cast("int"))
+    short = x.rlike("^[0-9]{9}[0-9X]$") & ((_sum(x, _W10) + last) % 11 == 0)
     return F.coalesce(F.when(F.length(x) == 13, long).when(F.length(x) == 10, short), F.lit(False))
 
 

@@ -37,6 +37,7 @@ REGION_SHINGLES = 4_000_000
 #: Shingles of a shard in which documents' shingles are matched.
 SHARD = 1_500_000
 LEAF = 768
+SPARSE = 5
 PIVOTS = 12
 DEPTH = 6
 _BASE = 0x9E3779B97F4A7C15 | 5
@@ -244,20 +245,38 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Shingles that each of rows has in common with each of cols."""
+    """Shingles that each of rows has in common with each of cols. Shingles that many documents have are columns of a
+    matrix product; those of up to SPARSE documents are counted pair by pair."""
     some = np.unique(np.concatenate([rows, cols]))
-    _, at = np.unique(np.concatenate([sets[i] for i in some.tolist()]), return_inverse=True)
     lengths = np.array([len(sets[i]) for i in some.tolist()])
-    who = np.repeat(np.arange(len(some)), lengths)
-    order = np.argsort(at, kind="stable")
-    at, who = at[order], who[order]
+    flat, who = np.concatenate([sets[i] for i in some.tolist()]), np.repeat(np.arange(len(some)), lengths)
     total, r, c = np.zeros((len(rows), len(cols)), np.float32), np.searchsorted(some, rows), np.searchsorted(some, cols)
-    width = 4096 if len(at) and at[-1] > 4096 else (int(at[-1]) + 1 if len(at) else 1)
-    for low in range(0, int(at[-1]) + 1 if len(at) else 0, width):
-        a, b = np.searchsorted(at, (low, low + width))
-        x = np.zeros((len(some), width), np.float32)
-        x[who[a:b], at[a:b] - low] = 1
+    order = np.argsort(flat, kind="stable")
+    flat, who = flat[order], who[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    group = np.cumsum(new) - 1
+    df = np.bincount(group) if len(flat) else np.zeros(0, int)
+    many = df > SPARSE
+    use = many[group]
+    at, own = (np.cumsum(many) - 1)[group[use]], who[use]
+    for low in range(0, int(many.sum()), 4096):
+        a, b = np.searchsorted(at, (low, low + 4096))
+        x = np.zeros((len(some), min(4096, int(many.sum()) - low)), np.float32)
+        x[own[a:b], at[a:b] - low] = 1
         total += x[r] @ x[c].T
+    row_at, col_at = np.full(len(some), -1), np.full(len(some), -1)
+    row_at[r], col_at[c] = np.arange(len(rows)), np.arange(len(cols))
+    few = ~use & (df[group] > 1)
+    group, who = group[few], who[few]
+    for k in range(1, SPARSE):
+        same = group[k:] == group[:-k]
+        x, y = who[:-k][same], who[k:][same]
+        for p, q in ((x, y), (y, x)):
+            ok = (row_at[p] >= 0) & (col_at[q] >= 0)
+            np.add.at(total, (row_at[p[ok]], col_at[q[ok]]), 1)
+    both = np.flatnonzero((row_at >= 0) & (col_at >= 0))
+    total[row_at[both], col_at[both]] = lengths[both]
     return total
 
 

@@ -35,7 +35,7 @@ from folioscan.llm._common import columns, components, forest, frugal, mixed, pa
 #: Shingles that a region may hold to be joined in one task (8 bytes each); documents that are joined as one matrix.
 REGION_SHINGLES = 4_000_000
 #: Shingles of a shard in which documents' shingles are matched.
-SHARD = 1_500_000
+SHARD = 3_000_000
 LEAF = 768
 SPARSE = 5
 PIVOTS = 12

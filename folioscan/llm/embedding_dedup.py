@@ -2,14 +2,19 @@
 
 Equal vectors first become one class with a weight. Coarse centroids and the codebooks of the subspaces of the residuals
 are fitted on a bounded sample (SAMPLE rows, those of the least hashes); every vector is indexed. A vector lies in the
-inverted list of its nearest centroid, as codes of its residual, with the norm of what the codes miss. As a query it
-probes its PROBES nearest lists: table lookups give the distance to each member's coded place, and a member whose coded
-distance is within the radius plus its own coding error stays, so the codes lose nothing within a probed list. The
-exact cosine in double precision decides. The number of lists grows with the root of the number of vectors, so the
-work of a vector does as well.
+inverted list of its nearest centroid, as codes of its residual, with the norm of what the codes miss.
 
-A list of any size is cut into blocks of members and blocks of queries, one task each; within a block links are counted
-per query and edges reduced to a forest, so a group of near copies never becomes a list of pairs.
+Lists are probed by bounds, never by number. A vector within the radius of a query lies in a list only if the query is
+within the list's reach (the distance of its farthest member from the centroid) plus the radius, and no farther than the
+radius beyond the half-way plane between its own centroid and the list's. Within a list, table lookups give the distance
+to each member's coded place, and a member whose coded distance is within the radius plus its own coding error stays.
+So neither lists nor codes lose a pair, and the exact cosine in double precision decides. Where bounds exclude little
+(vectors that form no clusters) the work grows with the square of their number.
+
+Lists that lie near each other are written together as blocks of about MEMBERS rows, a list of more as several. Each
+pair of blocks is one unit of work, unless bounds exclude it; it reads both blocks from the shared folder, so vectors
+are never copied from list to list, and counts links for both. Edges are reduced to a forest, so a group of near copies
+never becomes a list of pairs.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
 unlike lengths are filled with zeros; repeated rows, also of one vec_id, are vectors of their own; component_id ignores
@@ -19,22 +24,26 @@ null ids; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm._common import columns, components, forest, partitions, written
+from folioscan.llm._common import columns, components, forest, partitions, shared_folder, written
 from folioscan.llm.vectors import usable
 
 SAMPLE = 20_000
-PROBES = 12
 SUBSPACES = 8
 CODEWORDS = 256
-MEMBERS, QUERIES = 2048, 8192
+MEMBERS = 2048
+#: Added to the radius in bounds, for rounding.
+SLACK = 1e-4
 
 
 def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -92,64 +101,133 @@ def _unit(vecs) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _assigned(index, probes: int):
+def _assigned(index):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = index.value
         for whole in batches:
             for i in range(0, len(whole), 2048):
                 b = whole.iloc[i : i + 2048]
                 x = _unit(list(b.vec))
-                far = (ix.centroids * ix.centroids).sum(1) / 2 - x @ ix.centroids.T
-                k = min(probes, len(ix.centroids))
-                top = np.argpartition(far, k - 1, 1)[:, :k]
-                at = far.argmin(1)
+                at = _near(x, ix.centroids)
                 codes, missed = ix.coded(x, at)
-                yield pd.DataFrame({"cls": b.cls.to_numpy(), "weight": b.weight.to_numpy(), "list": at.astype(np.int32), "probes": list(top.astype(np.int32)), "vec": [v.tobytes() for v in x], "codes": [c.tobytes() for c in codes], "missed": missed})
+                reach = np.sqrt(((x - ix.centroids[at]) ** 2).sum(1))
+                yield pd.DataFrame({"cls": b.cls.to_numpy(), "weight": b.weight.to_numpy(), "list": at.astype(np.int32), "reach": reach, "vec": [v.tobytes() for v in x], "codes": [c.tobytes() for c in codes], "missed": missed})
 
     return run
 
 
-def _block(index, threshold: float):
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        ix = index.value
-        is_query = x["query"].to_numpy(bool)
-        q, m = x[is_query], x[~is_query]
-        if not len(q) or not len(m):
-            return pd.DataFrame({"cls": [], "links": [], "root": []}).astype({"root": "Int64"})
-        center = ix.centroids[int(x["list"].iloc[0])]
-        qv = np.frombuffer(b"".join(q.vec), np.float64).reshape(len(q), -1)
-        mv = np.frombuffer(b"".join(m.vec), np.float64).reshape(len(m), -1)
-        codes = np.frombuffer(b"".join(m.codes), np.uint8).reshape(len(m), -1)
-        weight, mc, qc = m.weight.to_numpy(np.int64), m.cls.to_numpy(), q.cls.to_numpy()
-        limit = ((math.sqrt(2 - 2 * threshold) + m.missed.to_numpy() + 1e-4) ** 2).astype(np.float32)
-        links, edges = np.zeros(len(q), np.int64), []
-        step = max(1, 2_000_000 // len(m))
-        for i in range(0, len(q), step):
-            rest = qv[i : i + step] - center
-            far = np.zeros((len(rest), len(m)), np.float32)
-            for k, ((a, b), book) in enumerate(zip(ix.cuts, ix.books)):
-                table = ((rest[:, a:b] ** 2).sum(1)[:, None] - 2 * rest[:, a:b] @ book.T + (book * book).sum(1)).astype(np.float32)
-                far += table[:, codes[:, k]]
-            a, b = np.nonzero(far <= limit)
-            other = qc[i + a] != mc[b]
-            a, b = a[other], b[other]
-            if len(a) > 0.05 * far.size:
-                same = qv[i : i + step] @ mv.T
-                cos = same[a, b]
-            else:
-                cos = np.concatenate([np.einsum("ij,ij->i", qv[i + a[k : k + 50_000]], mv[b[k : k + 50_000]]) for k in range(0, len(a), 50_000)] or [np.zeros(0)])
-            a, b = a[cos >= threshold] + i, b[cos >= threshold]
-            links += np.bincount(a, weight[b], len(q)).astype(np.int64)
-            if len(a):
-                edges.append(forest(qc[a], mc[b]))
-        some = links > 0
-        v, r = forest(*(np.concatenate([np.zeros(0, np.int64), *(e[k] for e in edges)]) for k in (0, 1)))
-        return pd.concat([pd.DataFrame({"cls": qc[some], "links": links[some], "root": None}), pd.DataFrame({"cls": v, "links": 0, "root": r})]).astype({"root": "Int64"})
+def _side_by_side(c: np.ndarray) -> np.ndarray:
+    """An order of centroids that keeps near ones together: halves along the widest direction, recursively."""
+    if len(c) < 3:
+        return np.arange(len(c))
+    rest = c - c.mean(0)
+    order = np.argsort(rest @ np.linalg.eigh(rest.T @ rest)[1][:, -1], kind="stable")
+    a, b = order[: len(c) // 2], order[len(c) // 2 :]
+    return np.concatenate([a[_side_by_side(c[a])], b[_side_by_side(c[b])]])
+
+
+class Blocks:
+    """Which lists are written together: for each list its group, the groups' first block, and how many they have."""
+
+    def __init__(self, index: Index, lists: np.ndarray, sizes: np.ndarray, reach: np.ndarray, threshold: float):
+        self.radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+        self.reach = np.zeros(len(index.centroids))
+        self.reach[lists] = reach
+        order = _side_by_side(index.centroids[lists])
+        self.lists, sizes = lists[order], sizes[order]
+        group, held = [], 0
+        for n in sizes.tolist():
+            new = not group or held + n > MEMBERS
+            group.append((group[-1] if group else -1) + 1 if new else group[-1])
+            held = n if new else held + n
+        self.group = np.array(group)
+        self.parts = np.maximum(1, -(-np.bincount(self.group, sizes).astype(np.int64) // MEMBERS))
+        self.first = np.cumsum(self.parts) - self.parts
+        self.start = np.flatnonzero(np.diff(self.group, prepend=-1))
+
+    def pairs(self, index: Index, g: int) -> np.ndarray:
+        """Groups from g on that may hold a vector within the radius of one of group g."""
+        c, reach = index.centroids[self.lists], self.reach[self.lists]
+        own = self.group == g
+        far = np.sqrt(np.maximum(0, ((c[own] ** 2).sum(1)[:, None] - 2 * c[own] @ c.T + (c * c).sum(1))))
+        near = (far <= reach[own][:, None] + reach + self.radius).any(0)
+        some = np.flatnonzero(np.logical_or.reduceat(near, self.start))
+        return some[some >= g]
+
+
+def _units(index, blocks):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g in batch.id.tolist():
+                first, parts = blocks.value.first, blocks.value.parts
+                for h in blocks.value.pairs(index.value, g).tolist():
+                    a, b = (x.ravel() for x in np.meshgrid(first[g] + np.arange(parts[g]), first[h] + np.arange(parts[h]), indexing="ij"))
+                    yield pd.DataFrame({"a": a[a <= b], "b": b[a <= b]})
+
+    return run
+
+
+class _Block:
+    """A block's rows, ordered by list."""
+
+    def __init__(self, fs, path: str):
+        t = pq.read_table(path, filesystem=fs, partitioning=None).sort_by([("list", "ascending"), ("cls", "ascending")])
+        n = len(t)
+        matrix = lambda name, kind: np.frombuffer(b"".join(t[name].to_pylist()), kind).reshape(n, -1)
+        self.cls, self.weight, self.missed, self.list = (t[k].to_numpy() for k in ("cls", "weight", "missed", "list"))
+        self.vec, self.codes = matrix("vec", np.float64), matrix("codes", np.uint8)
+        self.start = np.flatnonzero(np.diff(self.list, prepend=-1))
+
+
+def _matched(ix: Index, blocks: Blocks, q: _Block, m: _Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of q and rows of m whose cosine may be high enough."""
+    square = lambda x: (x * x).sum(-1)
+    own = ix.centroids[q.list]
+    home = square(q.vec - own)
+    for at, end in zip(m.start.tolist(), [*m.start[1:].tolist(), len(m.list)]):
+        k = m.list[at]
+        rest = q.vec - ix.centroids[k]
+        far = square(rest)
+        ask = np.flatnonzero((far <= (blocks.reach[k] + blocks.radius) ** 2) & (far - home <= 2 * blocks.radius * np.sqrt(square(own - ix.centroids[k])) + 1e-9))
+        limit = ((blocks.radius + m.missed[at:end]) ** 2 + 1e-5).astype(np.float32)
+        step = max(1, 2_000_000 // (end - at))
+        for i in range(0, len(ask), step):
+            some = rest[ask[i : i + step]]
+            coded = np.zeros((len(some), end - at), np.float32)
+            for j, ((a, b), book) in enumerate(zip(ix.cuts, ix.books)):
+                table = (square(some[:, a:b])[:, None] - 2 * some[:, a:b] @ book.T + square(book)).astype(np.float32)
+                coded += table[:, m.codes[at:end, j]]
+            a, b = np.nonzero(coded <= limit)
+            yield ask[i + a], at + b
+
+
+def _linked(index, blocks, path: str, threshold: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for one, two in zip(batch.a.tolist(), batch.b.tolist()):
+                q = _Block(fs, f"{root}/block={one}")
+                m = q if one == two else _Block(fs, f"{root}/block={two}")
+                mine, other, edges = np.zeros(len(q.cls), np.int64), np.zeros(len(m.cls), np.int64), []
+                for a, b in _matched(index.value, blocks.value, q, m):
+                    if one == two:  # each pair once
+                        a, b = a[q.cls[a] < m.cls[b]], b[q.cls[a] < m.cls[b]]
+                    cos = np.concatenate([np.einsum("ij,ij->i", q.vec[a[k : k + 50_000]], m.vec[b[k : k + 50_000]]) for k in range(0, len(a), 50_000)] or [np.zeros(0)])
+                    a, b = a[cos >= threshold], b[cos >= threshold]
+                    if len(a):
+                        mine += np.bincount(a, m.weight[b], len(q.cls)).astype(np.int64)
+                        other += np.bincount(b, q.weight[a], len(m.cls)).astype(np.int64)
+                        edges.append(forest(q.cls[a], m.cls[b]))
+                if not edges:
+                    continue
+                v, r = forest(*(np.concatenate([e[k] for e in edges]) for k in (0, 1)))
+                counted = [pd.DataFrame({"cls": x.cls[n > 0], "links": n[n > 0], "root": None}) for x, n in ((q, mine), (m, other))]
+                yield pd.concat([*counted, pd.DataFrame({"cls": v, "links": 0, "root": r})]).astype({"root": "Int64"})
 
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, sample: int = SAMPLE) -> DataFrame:
     """One row per row of df: vec_id, n_links, component_id, kept."""
     spark = df.sparkSession
     df = columns(df, id_col, vec_col).toDF("vec_id", "vec_in")
@@ -160,17 +238,20 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     if count:
         drawn = each.select("vec").orderBy(F.xxhash64("vec")).limit(sample).collect()
         index = spark.sparkContext.broadcast(Index(_unit([bytes(r.vec) for r in drawn]), count))
-        rows = written(each.select("cls", "weight", "vec").mapInPandas(_assigned(index, probes), "cls long, weight long, list int, probes array<int>, vec binary, codes binary, missed double"), "pq-codes")
-        asks = rows.select("cls", "vec", F.explode("probes").alias("list"))
-        # One row per list, of which there are at most SAMPLE / 4.
-        blocks = rows.groupBy("list").agg(F.count(F.lit(1)).alias("m")).join(asks.groupBy("list").agg(F.count(F.lit(1)).alias("q")), "list")
-        blocks = blocks.select("list", F.ceil(F.col("m") / MEMBERS).cast("int").alias("mbs"), F.ceil(F.col("q") / QUERIES).cast("int").alias("qbs"))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        mine = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
-        member = rows.join(F.broadcast(blocks), "list").select("list", mine("mbs").alias("mb"), every("qbs").alias("qb"), F.lit(False).alias("query"), "cls", "vec", "weight", "codes", "missed")
-        query = asks.join(F.broadcast(blocks), "list").select("list", every("mbs").alias("mb"), mine("qbs").alias("qb"), F.lit(True).alias("query"), "cls", "vec", F.lit(None).cast("long").alias("weight"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("missed"))
-        found = member.unionByName(query).repartition(partitions(spark) * 2, "list", "mb", "qb").groupBy("list", "mb", "qb").applyInPandas(_block(index, threshold), "cls long, links long, root long")
-        found = written(found, "pq-links")
+        rows = written(each.select("cls", "weight", "vec").mapInPandas(_assigned(index), "cls long, weight long, list int, reach double, vec binary, codes binary, missed double"), "pq-codes")
+        lists = rows.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach")).orderBy("list").toPandas()  # at most SAMPLE / 4 rows
+        own = Blocks(index.value, lists["list"].to_numpy(), lists["n"].to_numpy(), lists["reach"].to_numpy(), threshold)
+        blocks = spark.sparkContext.broadcast(own)
+        of = spark.createDataFrame(pd.DataFrame({"list": own.lists, "first": own.first[own.group], "parts": own.parts[own.group]}), "list int, first long, parts long")
+        path = f"{shared_folder(spark)}/folioscan-pq-{uuid.uuid4().hex}"
+        placed = rows.join(F.broadcast(of), "list").withColumn("block", F.col("first") + F.pmod(F.xxhash64("cls"), F.col("parts"))).drop("first", "parts", "reach")
+        placed.repartition(partitions(spark), "block").write.partitionBy("block").parquet(path)
+        filled = placed.select("block").distinct()  # hashes may leave one empty
+        units = spark.range(len(own.parts)).repartition(partitions(spark)).mapInPandas(_units(index, blocks), "a long, b long")
+        for side in ("a", "b"):
+            units = units.join(filled.withColumnRenamed("block", side), side, "left_semi")
+        units = written(units, "pq-units").repartition(partitions(spark) * 2, F.xxhash64("a", "b"))
+        found = written(units.mapInPandas(_linked(index, blocks, path, threshold), "cls long, links long, root long"), "pq-links")
     else:
         found = spark.createDataFrame([], "cls long, links long, root long")
     linked = found.where("root IS NULL").groupBy("cls").agg(F.sum("links").alias("links"))

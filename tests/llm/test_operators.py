@@ -96,6 +96,19 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.where("vec_id > 899")).count() == 6
 
 
+def test_embeddings_large_group(spark):
+    """A third of the rows are near copies of each other: every link is found, from both ends."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64))
+    x[2000:4000] = x[0] + rng.normal(size=(2000, 64)) * 0.29
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert want[2000:4000].mean() > 1000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    assert [got[i] for i in range(6000)] == want.tolist()
+
+
 def test_neighbours(spark):
     df, x = vectors(spark)
     got = hnsw.nearest(df).collect()

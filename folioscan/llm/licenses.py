@@ -1,11 +1,12 @@
 """10. License scan: canonical digests of entire texts, looked up among those of known licences.
 
-A text is lower-cased, its copyright lines are dropped, punctuation and white space become one space, equivalent
+A text is lower-cased, its copyright notices are dropped (lines that begin with one; where a licence begins on the same
+line, the notice alone; body lines that name copyright stay), punctuation and white space become one space, equivalent
 spellings one spelling. Each line so made, and the whole of them, is a unit; a unit whose digest is that of a known
 licence or notice, made the same way, is one. All of it is built-in expressions; the table of known texts is a constant
 of this module (KNOWN), so its broadcast has a fixed size.
 
-Defined cases: null and empty texts have no unit; a text of copyright lines alone neither; repeated rows are rows of
+Defined cases: null and empty texts have no unit; a text of copyright notices alone neither; repeated rows are rows of
 their own; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -14,7 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Of the SQL, which drops every line that names copyright; scan() gives the same rows where only notices do.
 COPYRIGHT = r"copyright|©|\(c\) ?[0-9]{4}"
+_DATED = r"(?:copyright[\s:,]*(?:\(c\)|©|&copy;|[\[<{(]?(?:[0-9]{4}|year|yyyy)\b|by\b)|©|\(c\)\s*(?:copyright\b|[0-9]{4}\b))"
+#: After "copyright", what no holder's name begins with: such lines are wrapped body text.
+_BODY = r"(?:notices?|holders?|owners?|laws?|licen[cs]e[sd]?|statements?|interests?|disclaimers?|permissions?|protections?|infringements?|treat(?:y|ies)|acts?|rights?|status|resulting|and|or|of|on|in|to|is|are|as|for|that|this|these|those|any|which|with|under|from|the (?:software|program|library|work|material|licen[cs]e))"
+NOTICE = r"^[^\p{L}\p{N}©(]*(?:portions )?(?:" + _DATED + r"|copyright\s+(?!" + _BODY + r"\b)\p{L})"
+#: A notice up to where a licence begins on the same line.
+BEFORE_BODY = _DATED + r"[^\n]{0,300}?(?=\b(?:permission is hereby granted|permission to use|licensed under|released under|this work is licensed|this program is free|redistribution and use|spdx-license-identifier)\b)"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 SPELLINGS = (("licence", "license"), ("organisation", "organization"), ("authoris", "authoriz"), ("sublicence", "sublicense"), ("non commercial", "noncommercial"), ("merchantibility", "merchantability"), (" version ", " v "), ("https", "http"))
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -37,21 +45,31 @@ KNOWN: tuple[tuple[str, str], ...] = (
 )
 
 
-def canonical_lines(text: Column) -> Column:
-    kept = F.filter(F.split(F.lower(text), "\n"), lambda x: ~x.rlike(COPYRIGHT))
-    made = F.regexp_replace(F.array_join(kept, "\n"), PUNCTUATION, " ")
+def _spelled(made: Column) -> Column:
     for a, b in SPELLINGS:
         made = F.replace(made, F.lit(a), F.lit(b))
+    return made
+
+
+def canonical_lines(text: Column) -> Column:
+    parted = F.regexp_replace(F.lower(text), BEFORE_BODY, "\n")
+    kept = F.filter(F.split(parted, "\n"), lambda x: ~x.rlike(NOTICE))
+    made = _spelled(F.regexp_replace(F.array_join(kept, "\n"), PUNCTUATION, " "))
     return F.filter(F.transform(F.split(made, "\n"), lambda x: F.btrim(x)), lambda x: x != "")
 
 
+def canonical_whole(lines: Column) -> Column:
+    """Of canonical lines; spellings may be broken by a line's end."""
+    return _spelled(F.array_join(lines, " "))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest (of the whole), n_units (lines), n_license_lines, whole_license, licenses (sorted, by comma; both null if none)."""
     spark = docs.sparkSession
     known = spark.createDataFrame(list(KNOWN), "license string, text string")
-    known = known.select("license", F.md5(F.array_join(canonical_lines(F.col("text")), " ")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    known = known.select("license", F.md5(canonical_whole(canonical_lines(F.col("text")))).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("doc_id"), canonical_lines(F.col(f"`{text_col}`")).alias("lines"))
-    rows = rows.select("uid", "doc_id", F.md5(F.array_join("lines", " ")).alias("whole"), F.transform("lines", F.md5).alias("lines"))
+    rows = rows.select("uid", "doc_id", F.md5(canonical_whole(F.col("lines"))).alias("whole"), F.transform("lines", F.md5).alias("lines"))
     # The whole, then its lines; a text of one line is one unit of each.
     units = rows.select("uid", "doc_id", "whole", F.posexplode(F.concat(F.array("whole"), F.coalesce("lines", F.array().cast("array<string>")))).alias("pos", "digest"))
     found = units.join(F.broadcast(known), "digest", "left")

@@ -1,4 +1,5 @@
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -253,6 +254,24 @@ def test_licenses(spark, documents):
     assert licenses.scan(whole).first().whole_license == "MIT"
 
 
+def test_licenses_notices(spark):
+    """Only notices go: known texts are found however they are wrapped, and body lines count."""
+    own = {"MIT": licenses._MIT, "ISC": licenses._ISC, "Apache-2.0": licenses._APACHE}
+    notices = ("", "Copyright (c) 2020-2024 Jane Roe\n", "// © 2019 Roe Ltd.\n\n", "(C) 2001 x\n", " * Copyright The Roe Authors\n", "Portions Copyright 1999 by me\n")
+    texts = []
+    for name, text in own.items():
+        for width in (30, 37, 45, 60, 66, 72, 78, 80, 100, 100_000):
+            body = "\n".join(textwrap.fill(x, width, break_long_words=False, break_on_hyphens=False) for x in text.split("\n"))
+            texts += [(name, n + body) for n in notices]
+        texts += [(name, " ".join(text.split())), (name, "Copyright (c) 2020 Jane Roe. All rights reserved. " + " ".join(text.split()))]
+    first = licenses._MIT.split("\n")[0]
+    texts += [("MIT", "MIT License Copyright (c) 2020 Jane Roe " + " ".join(licenses._MIT.split())), (None, first), (None, first + "\nThe copyright of all else is sold."), (None, "Copyright (c) 2020 Jane Roe")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert [(i, got[i].whole_license) for i in got if got[i].whole_license != texts[i][0]] == []
+    assert got[len(texts) - 2].n_units == 2 and got[len(texts) - 1].n_units == 0
+
+
 def test_pipeline(spark, documents, labels, tmp_path):
     import corpus_pipeline
 

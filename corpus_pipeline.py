@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from folioscan.llm import jaccard_join, language_id, mixing, packing, quality
 from folioscan.llm._common import written
 
-#: A text goes as of no language if none has this share of it.
-LEAST_SHARE = 0.3
+#: A text goes as mixed if no language has this share of it; above a half, as two may share it evenly.
+LEAST_SHARE = 0.6
 #: SQL can express neither the language model nor the tokenizer.
 ORACLE_SQL = None
 
@@ -26,8 +26,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of which no language has LEAST_SHARE, go."""
-    return _own(docs, language_id.tag(docs).where((F.col("_lang_pred") != "und") & (F.col("_score") >= LEAST_SHARE)))
+    """Documents without a letter, of which no language has LEAST_SHARE, or that fit their language far worse than
+    held-out texts of it, go."""
+    tagged = written(language_id.tag(docs), "tagged")
+    fit = (F.col("_letters") * F.col("_fit") + language_id.SHRINK * F.col("_median")) / (F.col("_letters") + language_id.SHRINK)
+    rows = tagged.join(F.broadcast(language_id.limits(tagged)), "_lang_pred")  # a row per language
+    return _own(docs, rows.where((F.least("_score", "_share") >= LEAST_SHARE) & F.coalesce(fit >= F.col("_limit"), F.lit(True))))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ The languages' models are distributions of byte 4-grams of lower-cased letters,
 a language), counted from at most about PER_LANGUAGE rows of each language in expectation (by hash, among the rows that
 may train). A text is a mixture: each word comes from one language, and expectation-maximisation estimates the shares
 from the words' n-gram likelihoods. Sets of 1, 2, ... languages, by share, are fitted anew each, and the set with the
-best penalised likelihood is selected; the prediction is the largest share in it, the score that share.
+best penalised likelihood is selected; the prediction is the largest share in it, the score that share. tag() also gives
+what shares can't tell, as they are relative: the mean log likelihood a byte (_fit) of _letters bytes, to be held against
+limits() of texts that didn't train, and the prediction's share in the mixture of all languages (_share).
 
 Defined cases: null text, or one without a letter, is `und` with score 0; a table without usable labels predicts `und`
 for all; ties go to the first language by code point; repeated rows give repeated rows; rows with a null id never train
@@ -25,6 +27,8 @@ from pyspark.sql import types as T
 from folioscan.llm._common import frugal, text_slices, written
 
 BUCKETS, PER_LANGUAGE, MOST, PENALTY = 1 << 16, 3_000, 3, 4.0
+#: For limits(): bytes of median text added to each, texts that a limit needs, quartile distances and nats below the median.
+SHRINK, FEWEST, QUARTILES, NATS = 100, 20, 8, 0.5
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -91,10 +95,10 @@ def _shares(r: np.ndarray, doc: np.ndarray, begin: np.ndarray, n: np.ndarray, ro
     return pi, np.add.reduceat(np.log((r * pi[doc]).sum(1)).astype(np.float64), begin)
 
 
-def infer(table: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Language (-1: none) and score of each text; of these lower-cased bytes."""
+def infer(table: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language (-1: none), score, log likelihood, counted bytes and share among all languages of each text; of these lower-cased bytes."""
     docs, langs = len(at) - 1, table.shape[1]
-    best, share = np.full(docs, -1), np.zeros(docs)
+    best, share, total, size_of, of_all = np.full(docs, -1), np.zeros(docs), np.zeros(docs), np.zeros(docs, np.int64), np.zeros(docs)
     key, counts = _buckets(data, at)
     letter = _FOLD[data] != 32
     first = letter.copy()
@@ -103,7 +107,7 @@ def infer(table: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     first[1:] &= ~letter[:-1] | edge[1:-1]
     word = np.flatnonzero(first)
     if not len(word) or not langs:
-        return best, share
+        return best, share, total, size_of, of_all
     like = table[key]
     like[~counts] = 0
     w = np.add.reduceat(like, word)
@@ -117,16 +121,21 @@ def infer(table: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     order = np.argsort(-pi, 1, kind="stable")[:, :MOST]
     r = np.take_along_axis(r, order[doc], 1)
     value = np.full(len(some), -np.inf)
-    pick, size = np.zeros(len(some), int), np.zeros(len(some))
+    pick, size, raw = np.zeros(len(some), int), np.zeros(len(some)), np.zeros(len(some))
     for m in range(1, order.shape[1] + 1):
         p, fit = _shares(np.ascontiguousarray(r[:, :m]), doc, begin, n, 1 if m == 1 else 6)
-        fit -= (m - 1) * PENALTY * np.log(n + 1)
+        plain = fit
+        fit = plain - (m - 1) * PENALTY * np.log(n + 1)
         better = fit > value
+        raw = np.where(better, plain, raw)
         value = np.where(better, fit, value)
         k = p.argmax(1)
         pick, size = np.where(better, order[np.arange(len(some)), k], pick), np.where(better, p.max(1), size)
     best[some], share[some] = pick, size
-    return best, np.minimum(share, 1)
+    total[some] = raw + np.add.reduceat(top[:, 0].astype(np.float64), begin)
+    size_of[some] = np.add.reduceat(np.add.reduceat(counts.astype(np.int64), word), begin)
+    of_all[some] = pi[np.arange(len(some)), pick]
+    return best, np.minimum(share, 1), total, size_of, np.minimum(of_all, 1)
 
 
 def _tagged(model, out: list[str], text_at: int):
@@ -136,18 +145,19 @@ def _tagged(model, out: list[str], text_at: int):
         for batch in batches:
             raw = batch.column(text_at)
             best, share = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
+            total, size, of_all = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for i, j, data, at in text_slices(_lowered(raw), max(200_000, 4_000_000 // max(4, len(langs)))):
-                best[i:j], share[i:j] = infer(table, data, at)
+                best[i:j], share[i:j], total[i:j], size[i:j], of_all[i:j] = infer(table, data, at)
             for i in np.flatnonzero(best >= 0).tolist():  # bytes from 128 on may be no letters
                 if not _LETTER.search(raw[i].as_py()):
                     best[i], share[i] = -1, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(share)], out)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(share), pa.array(total / np.maximum(size, 1)), pa.array(size), pa.array(of_all)], out)
 
     return run
 
 
 def tag(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
-    """docs with _held_out, _lang_pred, _score; a narrow pass over docs. Learns from rows that aren't held out alone."""
+    """docs with _held_out, _lang_pred, _score, _fit, _letters, _share; a narrow pass over docs. Learns from rows that aren't held out alone."""
     spark = docs.sparkSession
     remainder = F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3
     known = docs.where((remainder != 1) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{id_col}`").alias("id"))
@@ -155,11 +165,28 @@ def tag(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = F.least(F.lit(1.0), per_language / F.col("n"))
     drawn = known.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))  # a row per language, as in the model
     model = spark.sparkContext.broadcast(train(drawn.select("text", "lang")))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_fit", T.DoubleType()), T.StructField("_letters", T.LongType()), T.StructField("_share", T.DoubleType())])
     out = docs.mapInArrow(frugal(_tagged(model, [f.name for f in schema.fields], docs.columns.index(text_col))), schema)
     return out.withColumn("_held_out", F.coalesce(remainder == 1, F.lit(False)))
 
 
+def limits(tagged: DataFrame, lang_col: str = "lang") -> DataFrame:
+    """_lang_pred, _median, _limit: the least _fit, drawn towards the median, that a text of the language has, by held-out
+    texts labelled and predicted as it; with fewer than FEWEST by those of all languages,
+    and none if these are too few as well."""
+    own = tagged.where(F.col("_held_out") & (F.col("_letters") > 0) & (F.col(f"`{lang_col}`") == F.col("_lang_pred"))).select("_lang_pred", "_fit", "_letters")
+    own = written(own, "lang-fits")
+    median = own.groupBy("_lang_pred").agg(F.percentile_approx("_fit", 0.5, 10_000).alias("_median"), F.count(F.lit(1)).alias("_n"))
+    drawn = own.join(F.broadcast(median), "_lang_pred").withColumn("_gap", F.col("_letters") * (F.col("_median") - F.col("_fit")) / (F.col("_letters") + SHRINK))
+    far = lambda x: F.greatest(F.lit(NATS), QUARTILES * F.percentile_approx(x, 0.75, 10_000))
+    each = drawn.groupBy("_lang_pred").agg(F.first("_median").alias("_median"), F.first("_n").alias("_n"), far("_gap").alias("_far"))
+    pool = drawn.agg(F.percentile_approx("_fit", 0.5, 10_000).alias("_pm"), F.count(F.lit(1)).alias("_pn"), far("_gap").alias("_pf"))
+    enough = F.col("_n") >= FEWEST
+    langs = tagged.select("_lang_pred").where("_lang_pred <> 'und'").distinct()
+    out = langs.join(each, "_lang_pred", "left").crossJoin(pool).select("_lang_pred", F.when(enough, F.col("_median")).otherwise(F.col("_pm")).alias("_median"), F.when(enough, F.col("_far")).when(F.col("_pn") >= FEWEST, F.col("_pf")).alias("_far"))
+    return written(out.select("_lang_pred", "_median", (F.col("_median") - F.col("_far")).alias("_limit")), "lang-limits")
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     rows = tag(docs.select("doc_id", "text", "lang"))

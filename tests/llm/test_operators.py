@@ -272,6 +272,22 @@ def test_licenses_notices(spark):
     assert got[len(texts) - 2].n_units == 2 and got[len(texts) - 1].n_units == 0
 
 
+def test_language_stage(spark):
+    """Texts evenly mixed of languages and texts of none of them go; others stay."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    by = {lang: " ".join(r.text for r in docs.where((F.col("lang") == lang) & (F.length("text") > 300)).limit(6).collect()).split() for lang in ("en", "de", "fr", "es")}
+    mixed = lambda *ls: " ".join(" ".join(by[lang][k : k + 1]) for k in range(120) for lang in ls)
+    rng = np.random.default_rng(6)
+    foreign = " ".join("".join(rng.choice(list("qxzwkjyvh"), 7)) for _ in range(200))
+    new = [(-1, mixed("en", "de", "fr")), (-2, mixed("en", "de", "fr", "es")), (-3, foreign), (-4, "это " * 3 + "совсем другой язык текста " * 20), (-5, mixed("en"))]
+    more = spark.createDataFrame(new, "doc_id long, text string").select("doc_id", "text", *[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields[2:]])
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs.unionByName(more), "").select("doc_id").collect()}
+    assert {i for i in kept if i < 0} == {-5}
+    assert len(kept) > 0.97 * docs.where(r"text rlike '\\p{L}'").select("doc_id").distinct().count()
+
+
 def test_pipeline(spark, documents, labels, tmp_path):
     import corpus_pipeline
 

@@ -235,6 +235,18 @@ def test_quality_held_out(spark):
     assert share[1] > 0.97 and share[0] < 0.4
 
 
+def test_quality_pooled(spark):
+    """Rows of no language, of one without trusted text and of one with a single trusted text are judged by the pool."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang"), spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+    good = [r.text for r in docs.join(labels.where("quality = 1"), "doc_id").where("lang = 'en' AND length(text) BETWEEN 300 AND 3000").orderBy("doc_id").limit(12).collect()]
+    junk = "|#| 7 ## @@ 9;; Q{}~ %% 3 ^^ " * 40
+    new = [(-1, junk, None), (-2, junk, "xx"), (-3, junk, "yy"), (-4, good[0], "yy")] + [(-10 - k, t, lang) for k, t in enumerate(good) for lang in (None,)]
+    got = {r.doc_id: r for r in quality.classify(docs.unionByName(spark.createDataFrame(new, docs.schema)), labels.union(spark.createDataFrame([(-4, 1)], labels.schema))).collect()}
+    assert not any(got[i].keep for i in (-1, -2, -3)) and got[-4].keep
+    assert all(got[i].threshold is not None for i in (-1, -2, -3)) and sum(got[-10 - k].keep for k in range(12)) >= 11
+
+
 def test_kneser_ney(spark):
     """Probabilities of all bytes after a context add up to one."""
     texts = spark.createDataFrame([("abracadabra abra",), ("banana band",)], "text string").withColumn("lang", F.lit(3))

@@ -6,6 +6,7 @@ import ctypes
 import functools
 import inspect
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,12 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Edges up to this number (16 bytes each) are united in one task; beyond it, by star contraction.
 ONE_TASK_EDGES = 2_000_000
+#: Arrow batches to Python hold at most so many bytes, or one row; so many rows of any length bound no memory.
+BATCH_BYTES, _BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: What a worker keeps from task to task, by name. Functions that are frugal() drop it before they run.
 KEPT: dict = {}
 
@@ -54,12 +58,29 @@ def frugal(run):
     return functools.wraps(run)(lambda x: once(x)) if run.__code__.co_argcount == 1 else functools.wraps(run)(lambda x, y: once(x, y))
 
 
+def session(df: DataFrame) -> SparkSession:
+    """df's session, whose Arrow batches hold BATCH_BYTES at most from now on, unless it already asks for less."""
+    spark = df.sparkSession
+    now = spark.conf.get(_BATCH)
+    if not 0 < int(re.sub(r"\D", "", now)) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (local tests), one in the temporary folder."""
+    """The folder of spark.checkpoint.dir. Where that is unset: in local mode, which is for tests, one in the temporary
+    folder; on a cluster that's an error, as executors don't share such a folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (base or "file://" + os.path.join(tempfile.gettempdir(), "folioscan-shared")).rstrip("/")
 
 
+def opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder that Spark wrote, and the folder's path in it."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: cuts the lineage, and survives the loss of any executor."""
     spark = df.sparkSession
@@ -72,9 +93,55 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def place(df: DataFrame, name: str) -> int:
+    """Where df has the column: that of exactly this name, else the only one in another case."""
+    for same in ([i for i, c in enumerate(df.columns) if c == name], [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]):
+        if len(same) == 1:
+            return same[0]
+    raise ValueError(f"{name} is {'ambiguous' if same else 'missing'} among {df.columns}")
+
+
+def masked(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with the columns c0, c1, ..., which no name of an operator's own meets, whatever df's are; and the names so of some."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{place(df, n)}" for n in names]
+
+
+def filed(df: DataFrame) -> DataFrame:
+    """df, if it is a scan of files and nothing else, so that monotonically_increasing_id() numbers its rows alike each time; else a
+    written copy, which is one."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return df if all(re.match(r"[\s:+-]*(Project|Relation) ", x) for x in plan) else written(df, "docs")
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, whatever else df has; names match exactly."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    """Only the named columns (see place()), whatever else df has."""
+    plain, own = masked(df, *names)
+    return plain.select(*[F.col(c).alias(n) for c, n in zip(own, names)])
+
+
+def spread(count: int, partitions_: int) -> list[int]:
+    """count whole numbers, of which a hash exchange over so many partitions gives each partition equally many, or one
+    more. A group for a task is keyed by these, since few keys as they come would meet in some and leave others empty."""
+    each, out, k = [0] * partitions_, [], 0
+    most = -(-count // partitions_)
+    while len(out) < count:
+        at = _hashed(np.arange(k, k + 4096, dtype=np.uint32)) % partitions_
+        for i, p in enumerate(at.tolist(), k):
+            if each[p] < most and len(out) < count:
+                each[p] += 1
+                out.append(i)
+        k += 4096
+    return out
+
+
+def _hashed(x: np.ndarray) -> np.ndarray:
+    """Spark's hash() of ints (Murmur3, 32 bits, seed 42)."""
+    u, turn = np.uint32, lambda v, r: (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+    h = turn(u(42) ^ (turn(x * u(0xCC9E2D51), 15) * u(0x1B873593)), 13) * u(5) + u(0xE6546B64)
+    h ^= u(4)
+    h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+    h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+    return (h ^ (h >> u(16))).view(np.int32).astype(np.int64)
 
 
 def ranked(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
@@ -119,11 +186,13 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"v": v, "c": c})
 
 
-def components(edges: DataFrame, name: str, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+def components(edges: DataFrame, name: str, one_task: int = ONE_TASK_EDGES, reduced: bool = False) -> DataFrame:
     """(v, c): c is the smallest vertex that edges (a long, b long) connect v with. Each partition first reduces its
-    edges to a forest. Up to one_task edges that remain are united in one task, more by alternating large and small stars."""
-    small = edges.mapInPandas(_forest, "v long, c long").select(F.col("v").alias("a"), F.col("c").alias("b")).distinct()
-    edges = written(small, name)
+    edges to a forest (reduced: they are). Up to one_task edges that remain are united in one task, more by alternating
+    large and small stars, whose joins AQE splits where a hub is large."""
+    if not reduced:
+        edges = edges.mapInPandas(_forest, "v long, c long").toDF("a", "b")
+    edges = written(edges.select("a", "b").distinct(), name)
     if (count := edges.count()) <= one_task:
         return edges.coalesce(1).mapInPandas(_forest, "v long, c long")
     seen = None

@@ -18,7 +18,12 @@ def usable(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(len(values)) - np.repeat(np.cumsum(length) - length, length)
     out[row, at] = values
     out += 0.0
-    with np.errstate(over="ignore", invalid="ignore"):
-        size = np.sqrt((out * out).sum(1))
+    size = np.abs(out).max(1, initial=0)  # of squares, large or tiny ones would over- or underflow
     rows = np.flatnonzero(np.isfinite(size) & (size > 0))
     return rows, out[rows]
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """The rows of x at length 1, whatever their magnitude."""
+    x = x / np.abs(x).max(1, keepdims=True, initial=0)
+    return x / np.sqrt((x * x).sum(1))[:, None]

@@ -7,9 +7,11 @@ inverted list of its nearest centroid, as codes of its residual, with the norm o
 Lists are probed by bounds, never by number. A vector within the radius of a query lies in a list only if the query is
 within the list's reach (the distance of its farthest member from the centroid) plus the radius, and no farther than the
 radius beyond the half-way plane between its own centroid and the list's. Within a list, table lookups give the distance
-to each member's coded place, and a member whose coded distance is within the radius plus its own coding error stays.
-So neither lists nor codes lose a pair, and the exact cosine in double precision decides. Where bounds exclude little
-(vectors that form no clusters) the work grows with the square of their number.
+to each member's coded place (taken together, as one product of a block's queries with the places that the codes give), and
+a member whose coded distance is within the radius plus its own coding error stays. So neither lists nor codes lose a
+pair, and the exact cosine in double precision decides. Where bounds exclude little (vectors that form no clusters), or
+clusters outgrow the lists (of which the sample supports SAMPLE / 4 at most, from 1.6 million vectors on), the work grows
+with the square of the number of vectors; pairs are lost in neither case.
 
 Lists that lie near each other are written together as blocks of about MEMBERS rows, a list of more as several. Each
 pair of blocks is one unit of work, unless bounds exclude it; it reads both blocks from the shared folder, so vectors
@@ -30,13 +32,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm._common import columns, components, forest, partitions, shared_folder, written
-from folioscan.llm.vectors import usable
+from folioscan.llm._common import columns, components, forest, opened, partitions, session, shared_folder, written
+from folioscan.llm.vectors import unit, usable
 
 SAMPLE = 20_000
 SUBSPACES = 8
@@ -91,14 +92,16 @@ def _plain(dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, x = usable(batch.column(1), dims)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)).cast(pa.int64()), pa.array([v.tobytes() for v in x], pa.binary())], ["vec_id", "vec"])
+            vecs: list = [None] * batch.num_rows
+            for i, v in zip(rows.tolist(), x):
+                vecs[i] = v.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(vecs, pa.binary())], ["vec_id", "vec"])
 
     return run
 
 
 def _unit(vecs) -> np.ndarray:
-    x = np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1)
-    return x / np.sqrt((x * x).sum(1))[:, None]
+    return unit(np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1))
 
 
 def _assigned(index):
@@ -179,39 +182,45 @@ class _Block:
         self.start = np.flatnonzero(np.diff(self.list, prepend=-1))
 
 
-def _matched(ix: Index, blocks: Blocks, q: _Block, m: _Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of q and rows of m whose cosine may be high enough."""
+def _matched(ix: Index, blocks: Blocks, q: _Block, m: _Block, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of q and rows of m whose cosine may be high enough; same: each pair of rows once."""
     square = lambda x: (x * x).sum(-1)
-    own = ix.centroids[q.list]
-    home = square(q.vec - own)
-    for at, end in zip(m.start.tolist(), [*m.start[1:].tolist(), len(m.list)]):
-        k = m.list[at]
-        rest = q.vec - ix.centroids[k]
-        far = square(rest)
-        ask = np.flatnonzero((far <= (blocks.reach[k] + blocks.radius) ** 2) & (far - home <= 2 * blocks.radius * np.sqrt(square(own - ix.centroids[k])) + 1e-9))
-        limit = ((blocks.radius + m.missed[at:end]) ** 2 + 1e-5).astype(np.float32)
-        step = max(1, 2_000_000 // (end - at))
-        for i in range(0, len(ask), step):
-            some = rest[ask[i : i + step]]
-            coded = np.zeros((len(some), end - at), np.float32)
-            for j, ((a, b), book) in enumerate(zip(ix.cuts, ix.books)):
-                table = (square(some[:, a:b])[:, None] - 2 * some[:, a:b] @ book.T + square(book)).astype(np.float32)
-                coded += table[:, m.codes[at:end, j]]
-            a, b = np.nonzero(coded <= limit)
-            yield ask[i + a], at + b
+    # A member's coded place: codewords looked up in the tables, and the centroid. All asymmetric distances |query - place|
+    # of the block are then one matrix product, which sums up what a table of products for each query and subspace would.
+    place = ix.centroids[m.list]
+    for k, ((a, b), book) in enumerate(zip(ix.cuts, ix.books)):
+        place[:, a:b] += book[m.codes[:, k]]
+    # |query - place| <= radius + what the codes miss, of unit vectors, as a bound of the product.
+    least = ((1 + square(place) - (blocks.radius + m.missed) ** 2) / 2 - 1e-5).astype(np.float32)
+    place = place.astype(np.float32)
+    # Lists out of a query's reach are left out, where that spares whole lists.
+    ends = [*m.start[1:].tolist(), len(m.list)]
+    lists = m.list[m.start]
+    c = ix.centroids[lists]
+    near = np.sqrt(np.maximum(0, square(q.vec)[:, None] - 2 * q.vec @ c.T + square(c))) <= blocks.reach[lists] + blocks.radius
+    some = np.flatnonzero(np.repeat(near.any(0), np.diff(ends, prepend=0)))
+    ask = np.flatnonzero(near.any(1))
+    place, least = place[some], least[some]
+    vec = q.vec.astype(np.float32)
+    for i in range(0, len(ask), 512):
+        rows = ask[i : i + 512]
+        a, b = np.nonzero(vec[rows] @ place.T >= least)
+        a, b = rows[a], some[b]
+        if same:
+            keep = q.cls[a] < m.cls[b]
+            a, b = a[keep], b[keep]
+        yield a, b
 
 
 def _linked(index, blocks, path: str, threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, root = pyarrow.fs.FileSystem.from_uri(path)
+        fs, root = opened(path)
         for batch in batches:
             for one, two in zip(batch.a.tolist(), batch.b.tolist()):
                 q = _Block(fs, f"{root}/block={one}")
                 m = q if one == two else _Block(fs, f"{root}/block={two}")
                 mine, other, edges = np.zeros(len(q.cls), np.int64), np.zeros(len(m.cls), np.int64), []
-                for a, b in _matched(index.value, blocks.value, q, m):
-                    if one == two:  # each pair once
-                        a, b = a[q.cls[a] < m.cls[b]], b[q.cls[a] < m.cls[b]]
+                for a, b in _matched(index.value, blocks.value, q, m, one == two):
                     cos = np.concatenate([np.einsum("ij,ij->i", q.vec[a[k : k + 50_000]], m.vec[b[k : k + 50_000]]) for k in range(0, len(a), 50_000)] or [np.zeros(0)])
                     a, b = a[cos >= threshold], b[cos >= threshold]
                     if len(a):
@@ -229,11 +238,13 @@ def _linked(index, blocks, path: str, threshold: float):
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, sample: int = SAMPLE) -> DataFrame:
     """One row per row of df: vec_id, n_links, component_id, kept."""
-    spark = df.sparkSession
+    spark = session(df)
     df = columns(df, id_col, vec_col).toDF("vec_id", "vec_in")
     dims = df.agg(F.max(F.size("vec_in"))).first()[0] or 0
-    plain = df.mapInArrow(_plain(max(1, dims)), "vec_id long, vec binary")
-    each = written(plain.groupBy("vec").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least")).withColumn("cls", F.monotonically_increasing_id()), "pq-classes")
+    # Rows know their class by a digest of 128 bits, so that vectors are no key of a join.
+    plain = written(df.mapInArrow(_plain(max(1, dims)), "vec_id long, vec binary").withColumn("digest", F.md5("vec")), "pq-rows")
+    classes = plain.where("vec IS NOT NULL").groupBy("digest").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"), F.first("vec").alias("vec"))
+    each = written(classes.withColumn("cls", F.monotonically_increasing_id()), "pq-classes")
     count = each.count()
     if count:
         drawn = each.select("vec").orderBy(F.xxhash64("vec")).limit(sample).collect()
@@ -257,18 +268,18 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     linked = found.where("root IS NULL").groupBy("cls").agg(F.sum("links").alias("links"))
     comp = components(found.where("root IS NOT NULL").select(F.col("cls").alias("a"), F.col("root").alias("b")), "pq-edges").withColumnRenamed("v", "cls")
     least = comp.join(each.select("cls", "least"), "cls").groupBy("c").agg(F.min("least").alias("lowest"))
-    result = each.select("cls", "vec", "weight", "least").join(linked, "cls", "left").join(comp.join(least, "c").select("cls", "lowest"), "cls", "left")
-    result = result.select("vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("lowest", "least").alias("component_id"))
-    good = plain.join(result, "vec").select("vec_id", "n_links", "component_id")
-    bad = df.mapInArrow(_unusable(max(1, dims)), "vec_id long").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(bad).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-
-
-def _unusable(dims: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, _ = usable(batch.column(1), dims)
-            rest = np.setdiff1d(np.arange(batch.num_rows), rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rest, pa.int64())).cast(pa.int64())], ["vec_id"])
-
-    return run
+    result = each.select("cls", "digest", "weight", "least").join(linked, "cls", "left").join(comp.join(least, "c").select("cls", "lowest"), "cls", "left")
+    result = result.select("digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("lowest", "least").alias("component_id"))
+    alone = F.col("digest").isNull()
+    out = plain.select("vec_id", "digest").join(result, "digest", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(alone, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+ORACLE = """WITH RECURSIVE v AS (SELECT row_number() OVER () AS uid, vec_id, CASE WHEN embedding IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0 THEN embedding::DOUBLE[] END AS e FROM embeddings),
+u AS (SELECT uid, vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE e IS NOT NULL),
+p AS (SELECT a.uid AS a, b.uid AS b FROM u a, u b WHERE a.uid <> b.uid AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+r AS (SELECT uid AS v, uid AS w FROM u UNION SELECT r.v, p.b FROM r JOIN p ON p.a = r.w),
+c AS (SELECT r.v AS uid, min(u.vec_id) AS component_id FROM r JOIN u ON u.uid = r.w GROUP BY r.v),
+l AS (SELECT a AS uid, count(*) AS n_links FROM p GROUP BY a)
+SELECT v.vec_id, coalesce(l.n_links, 0) AS n_links, CASE WHEN v.e IS NULL THEN v.vec_id ELSE c.component_id END AS component_id, v.vec_id = CASE WHEN v.e IS NULL THEN v.vec_id ELSE c.component_id END AS kept
+FROM v LEFT JOIN l USING (uid) LEFT JOIN c USING (uid)"""

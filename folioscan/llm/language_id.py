@@ -3,14 +3,14 @@
 The languages' models are distributions of byte 4-grams of lower-cased letters, hashed to 2^16 buckets (so of fixed size
 a language), counted from at most about PER_LANGUAGE rows of each language in expectation (by hash, among the rows that
 may train). A text is a mixture: each word comes from one language, and expectation-maximisation estimates the shares
-from the words' n-gram likelihoods. Sets of 1, 2, ... languages, by share, are fitted anew each, and the set with the
-best penalised likelihood is selected; the prediction is the largest share in it, the score that share. tag() also gives
+from the words' n-gram likelihoods, until they stand still. Sets of 1, 2, ... languages, by share, are fitted anew each, as
+long as the penalised likelihood rises, up to all of them, and that set is selected; the prediction is the largest share in it, the score that share. tag() also gives
 what shares can't tell, as they are relative: the mean log likelihood a byte (_fit) of _letters bytes, to be held against
 limits() of texts that didn't train, and the prediction's share in the mixture of all languages (_share).
 
 Defined cases: null text, or one without a letter, is `und` with score 0; a table without usable labels predicts `und`
 for all; ties go to the first language by code point; repeated rows give repeated rows; rows with a null id never train
-and aren't held out; an empty table gives an empty result; further columns stay as they are in tag(), and identify() ignores them.
+and aren't held out; an empty table gives an empty result; further columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscan.llm._common import frugal, text_slices, written
+from folioscan.llm._common import columns, frugal, session, text_slices, written
 
-BUCKETS, PER_LANGUAGE, MOST, PENALTY = 1 << 16, 3_000, 3, 4.0
+BUCKETS, PER_LANGUAGE, PENALTY = 1 << 16, 3_000, 4.0
+#: EM ends when no share moves by more than STILL.
+STILL, ROUNDS = 2e-3, 200
 #: For limits(): bytes of median text added to each, texts that a limit needs, quartile distances and nats below the median.
 SHRINK, FEWEST, QUARTILES, NATS = 100, 20, 8, 0.5
 _LETTER = re.compile(r"[^\W\d_]")
@@ -85,13 +87,34 @@ def train(texts: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, table
 
 
-def _shares(r: np.ndarray, doc: np.ndarray, begin: np.ndarray, n: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shares by EM and the log likelihood of each text; r: likelihoods of words."""
-    pi = np.full((len(n), r.shape[1]), 1 / r.shape[1], np.float32)
-    for _ in range(rounds):
-        part = r * pi[doc]
-        part /= part.sum(1, keepdims=True)
-        pi = np.add.reduceat(part, begin) / n[:, None]
+def _sub(r: np.ndarray, n: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, their texts, these texts' first words and numbers of words, of some (boolean) of the texts."""
+    m = n[some]
+    return r[np.repeat(some, n)], np.repeat(np.arange(len(m)), m), np.cumsum(m) - m, m
+
+
+def _shares(r: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares by EM and the log likelihood of each text, of its likelihoods of words. A text is done when no share moves by
+    more than STILL; each step raises its likelihood, so it ends, and ROUNDS is a guard alone."""
+    texts, langs = len(n), r.shape[1]
+    pi = np.full((texts, langs), 1 / langs, np.float32)
+    doc, begin = np.repeat(np.arange(texts), n), np.cumsum(n) - n
+    if langs > 1:
+        at, (own, who, first, m), now = np.arange(texts), (r, doc, begin, n), pi.copy()
+        for k in range(ROUNDS):
+            part = own * now[who]
+            part /= part.sum(1, keepdims=True)
+            new = np.add.reduceat(part, first) / m[:, None]
+            moved = np.abs(new - now).max(1) > STILL
+            now = new
+            if not moved.any():
+                break
+            if k % 3 == 2 and moved.mean() < 0.8:  # texts that are done go
+                pi[at] = now
+                at = at[moved]
+                own, who, first, m = _sub(own, m, moved)
+                now = now[moved]
+        pi[at] = now
     return pi, np.add.reduceat(np.log((r * pi[doc]).sum(1)).astype(np.float64), begin)
 
 
@@ -117,20 +140,24 @@ def infer(table: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     doc = np.repeat(np.arange(len(some)), n)
     top = w.max(1, keepdims=True)
     r = np.exp(np.maximum(w - top, -60))
-    pi, _ = _shares(r, doc, begin, n, 6)
-    order = np.argsort(-pi, 1, kind="stable")[:, :MOST]
+    pi, _ = _shares(r, n)
+    order = np.argsort(-pi, 1, kind="stable")
     r = np.take_along_axis(r, order[doc], 1)
     value = np.full(len(some), -np.inf)
     pick, size, raw = np.zeros(len(some), int), np.zeros(len(some)), np.zeros(len(some))
-    for m in range(1, order.shape[1] + 1):
-        p, fit = _shares(np.ascontiguousarray(r[:, :m]), doc, begin, n, 1 if m == 1 else 6)
-        plain = fit
-        fit = plain - (m - 1) * PENALTY * np.log(n + 1)
-        better = fit > value
-        raw = np.where(better, plain, raw)
-        value = np.where(better, fit, value)
-        k = p.argmax(1)
-        pick, size = np.where(better, order[np.arange(len(some)), k], pick), np.where(better, p.max(1), size)
+    rising, own, m = np.arange(len(some)), r, n
+    for k in range(1, langs + 1):
+        p, plain = _shares(np.ascontiguousarray(own[:, :k]), m)
+        fit = plain - (k - 1) * PENALTY * np.log(m + 1)
+        better = fit > value[rising]
+        at, p = rising[better], p[better]
+        raw[at], value[at] = plain[better], fit[better]
+        first = p.argmax(1)
+        pick[at], size[at] = order[at, first], p.max(1)
+        if not better.any():
+            break
+        own, _, _, m = _sub(own, m, better)
+        rising = at
     best[some], share[some] = pick, size
     total[some] = raw + np.add.reduceat(top[:, 0].astype(np.float64), begin)
     size_of[some] = np.add.reduceat(np.add.reduceat(counts.astype(np.int64), word), begin)
@@ -157,8 +184,9 @@ def _tagged(model, out: list[str], text_at: int):
 
 
 def tag(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
-    """docs with _held_out, _lang_pred, _score, _fit, _letters, _share; a narrow pass over docs. Learns from rows that aren't held out alone."""
-    spark = docs.sparkSession
+    """docs with _held_out, _lang_pred, _score, _fit, _letters, _share, names that docs must not have (see masked()); a narrow
+    pass over docs. Learns from rows that aren't held out alone."""
+    spark = session(docs)
     remainder = F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3
     known = docs.where((remainder != 1) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{id_col}`").alias("id"))
     counts = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
@@ -189,5 +217,5 @@ def limits(tagged: DataFrame, lang_col: str = "lang") -> DataFrame:
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    rows = tag(docs.select("doc_id", "text", "lang"))
+    rows = tag(columns(docs, "doc_id", "text", "lang"))
     return rows.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))

@@ -10,7 +10,9 @@ as in a dense group of copies, blocks of a cell are joined against each other. A
 cell alone, which holds all that it may link with, so nothing counts twice.
 
 Before, documents with equal sets become one class with a weight, and classes of which too few shingles occur in any
-other class (below t n) are left out: they can't link. Nothing is capped or sampled.
+other class (below t n) are left out: they can't link. Which shingles classes share is counted in shards of shingles;
+those that many have would make a shard hot, so shingles that a sample proves to be shared are spread by class instead.
+Nothing is capped, and the sample changes no result.
 
 Shingles are 64-bit hashes, of which the join keeps 48 bits beside the shard: a chance of some 1e-9 for a pair that a
 shingle is wrongly taken as shared.
@@ -30,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm._common import columns, components, forest, frugal, mixed, partitions, text_slices, united, word_spans, written
+from folioscan.llm._common import columns, components, forest, frugal, mixed, partitions, session, spread, text_slices, united, word_spans, written
 
 #: Shingles that a region may hold to be joined in one task (8 bytes each); documents that are joined as one matrix.
 REGION_SHINGLES = 4_000_000
-#: Shingles of a shard in which documents' shingles are matched.
-SHARD = 3_000_000
+#: Shingles of a shard in which documents' shingles are matched; MB of texts that are dealt to the shards together.
+SHARD, SLICES = 3_000_000, 8
 LEAF = 768
 SPARSE = 5
 PIVOTS = 12
@@ -111,61 +113,127 @@ def _unsix(x: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _dealt(width: int, shards: int):
-    """For each slice of texts and each shard, one row with its classes' shingles that belong there."""
+def _found_in(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+def _often(width: int):
+    """Of a task's texts the shingles that several of its classes have, and how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, h, classes = np.zeros(0, np.int64), [], 0
+        for batch in batches:
+            for _, _, data, at in text_slices(batch.column(0), 1_000_000):
+                x, at = shingle_sets(data, at, width)
+                n, c = _class_ids(x, at)
+                _, once = np.unique(c, return_index=True)
+                new = np.zeros(len(c), bool)
+                new[once] = True
+                new &= (n > 0) & ~np.isin(c, seen)
+                seen = np.concatenate([seen, c[new]])
+                classes += int(new.sum())
+                h.append(x[np.repeat(new, n)])
+        if h:
+            x, n = np.unique(np.concatenate(h), return_counts=True)
+            use = n >= max(2, classes // 100)
+            yield pa.RecordBatch.from_arrays([pa.array(x[use].view(np.int64)), pa.array(n[use], pa.int64())], ["h", "n"])
+
+    return run
+
+
+def hot_shingles(texts: DataFrame, width: int, count: int, sample: int = 4_000, most: int = 1 << 16) -> np.ndarray:
+    """Shingles, sorted, that many classes have: those that two classes share for certain, by about `sample` of the texts (a
+    column; count: of all). They only decide where a shingle is counted, so results are the same with any sample."""
+    some = texts.where(F.rand(11) < sample / max(1, count))
+    top = some.mapInArrow(frugal(_often(width)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).toArrow()
+    return np.sort(top["h"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _dealt(width: int, shards: int, keys: np.ndarray, hot):
+    """For about SLICES MB of texts and each shard, one row with its classes' shingles that belong there. A hot shingle, of
+    which it's known that classes share it, isn't counted in a shard of its own but in one by the class."""
+
+    def rows(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        _, once = np.unique(c, return_index=True)
+        keep = np.zeros(len(c), bool)
+        keep[once] = True
+        keep &= n > 0
+        owner = np.repeat(np.arange(len(n)), n)
+        use = keep[owner]
+        h, owner = h[use], owner[use]
+        often = _found_in(h, hot.value)
+        shard = np.where(often, (mixed(c.view(np.uint64)) % np.uint64(shards))[owner], h % np.uint64(shards)).astype(np.int64) * 2 + often
+        order = np.argsort(shard, kind="stable")
+        h, owner, shard = h[order], owner[order], shard[order]
+        ends = np.searchsorted(shard, np.arange(2 * shards + 1)).tolist()
+        out: list[list] = [[] for _ in range(10)]
+        for k in range(shards):
+            a, b, e = ends[2 * k : 2 * k + 3]
+            if a == e:
+                continue
+            row = [int(keys[k]), k]
+            for i, j, packed in ((a, b, lambda x: _six(x // np.uint64(shards))), (b, e, lambda x: x.tobytes())):
+                who, times = np.unique(owner[i:j], return_counts=True)
+                row += [c[who].tobytes(), times.astype("<u4").tobytes(), n[who].astype("<u4").tobytes(), packed(h[i:j])]
+            for column, v in zip(out, row):
+                column.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i < 2 else pa.binary()) for i, x in enumerate(out)], _DEALT_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
             for _, _, data, at in text_slices(batch.column(0), 1_000_000):
                 h, at = shingle_sets(data, at, width)
                 n, c = _class_ids(h, at)
-                _, once = np.unique(c, return_index=True)
-                keep = np.zeros(len(c), bool)
-                keep[once] = True
-                keep &= n > 0
-                owner = np.repeat(np.arange(len(n)), n)
-                use = keep[owner]
-                h, owner = h[use], owner[use]
-                shard = (h % np.uint64(shards)).astype(np.int32)
-                order = np.argsort(shard, kind="stable")
-                h, owner, shard = h[order] // np.uint64(shards), owner[order], shard[order]
-                ends = np.searchsorted(shard, np.arange(shards + 1))
-                keys, ids, counts, sizes, hashes = [], [], [], [], []
-                for k in range(shards):
-                    a, b = ends[k], ends[k + 1]
-                    if a < b:
-                        who, times = np.unique(owner[a:b], return_counts=True)
-                        keys.append(k)
-                        ids.append(c[who].tobytes())
-                        counts.append(times.astype("<u4").tobytes())
-                        sizes.append(n[who].astype("<u4").tobytes())
-                        hashes.append(_six(h[a:b]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(x, pa.binary()) for x in (ids, counts, sizes, hashes))], ["shard", "ids", "counts", "sizes", "hashes"])
+                held.append((h, c, n))
+                if len(held) >= SLICES or sum(len(x[0]) for x in held) > SLICES * 200_000:
+                    yield rows(*map(np.concatenate, zip(*held)))
+                    held = []
+        if held:
+            yield rows(*map(np.concatenate, zip(*held)))
 
     return run
 
 
-_DEALT = "shard int, ids binary, counts binary, sizes binary, hashes binary"
+_DEALT = "key int, shard int, ids binary, counts binary, sizes binary, hashes binary, hot_ids binary, hot_counts binary, hot_sizes binary, hot_hashes binary"
+_DEALT_NAMES = [x.split()[0] for x in _DEALT.split(", ")]
+
+
+def _gathered(ids, counts, sizes, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, their sizes, shingles, and whose each is."""
+    ids = np.frombuffer(b"".join(ids), np.int64)
+    counts = np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
+    sizes = np.frombuffer(b"".join(sizes), "<u4").astype(np.int64)
+    return ids, sizes, h, np.repeat(np.arange(len(ids)), counts)
 
 
-def _gathered(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids = np.frombuffer(b"".join(x.ids), np.int64)
-    counts = np.frombuffer(b"".join(x.counts), "<u4").astype(np.int64)
-    sizes = np.frombuffer(b"".join(x.sizes), "<u4").astype(np.int64)
-    h = _unsix(b"".join(x.hashes))
-    return ids, counts, sizes, h, np.repeat(np.arange(len(ids)), counts)
+def _once(ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which shingles to use, so that each class counts once."""
+    keep = np.zeros(len(ids), bool)
+    keep[np.unique(ids, return_index=True)[1]] = True
+    return keep[owner]
 
 
-def _shared(shards: int, buckets: int):
+def _shared(shards: int, keys: np.ndarray):
     """Of a shard's shingles, those that two classes have, dealt to buckets by class."""
 
+    def dealt(ids, sizes, h, owner, df, shard, packed) -> list[tuple]:
+        bucket = (mixed(ids.view(np.uint64)) % np.uint64(shards)).astype(np.int64)[owner]
+        order = np.argsort(bucket, kind="stable")
+        h, owner, df, bucket = h[order], owner[order], df[order], bucket[order]
+        ends = np.searchsorted(bucket, np.arange(shards + 1))
+        rows = []
+        for k in np.unique(bucket).tolist():
+            a, b = ends[k], ends[k + 1]
+            who, times = np.unique(owner[a:b], return_counts=True)
+            rows.append((int(keys[k]), shard, ids[who].tobytes(), times.astype("<u4").tobytes(), sizes[who].astype("<u4").tobytes(), packed(h[a:b]), df[a:b].tobytes()))
+        return rows
+
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        ids, _, sizes, h, owner = _gathered(x)
-        shard = int(x.shard.iloc[0])
-        _, once = np.unique(ids, return_index=True)
-        keep = np.zeros(len(ids), bool)
-        keep[once] = True
-        use = keep[owner]
+        ids, sizes, h, owner = _gathered(x.ids, x.counts, x.sizes, _unsix(b"".join(x.hashes)))
+        use = _once(ids, owner)
         h, owner = h[use], owner[use]
         order = np.argsort(h, kind="stable")
         new = np.ones(len(h), bool)
@@ -174,28 +242,30 @@ def _shared(shards: int, buckets: int):
         df = np.empty(len(h), np.int64)
         df[order] = np.bincount(group)[group] if len(h) else 0
         use = df > 1
-        h, owner, df = h[use], owner[use], np.minimum(df[use], 255).astype(np.uint8)
-        bucket = (mixed(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)[owner]
-        order = np.argsort(bucket, kind="stable")
-        h, owner, df, bucket = h[order], owner[order], df[order], bucket[order]
-        ends = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = []
-        for k in np.unique(bucket).tolist():
-            a, b = ends[k], ends[k + 1]
-            who, times = np.unique(owner[a:b], return_counts=True)
-            rows.append((k, shard, ids[who].tobytes(), times.astype("<u4").tobytes(), sizes[who].astype("<u4").tobytes(), _six(h[a:b]), df[a:b].tobytes()))
+        rows = dealt(ids, sizes, h[use], owner[use], np.minimum(df[use], 254).astype(np.uint8), int(x.shard.iloc[0]), _six)
+        ids, sizes, h, owner = _gathered(x.hot_ids, x.hot_counts, x.hot_sizes, np.frombuffer(b"".join(x.hot_hashes), np.uint64))
+        use = _once(ids, owner)
+        rows += dealt(ids, sizes, h[use], owner[use], np.full(int(use.sum()), 255, np.uint8), -1, lambda v: v.tobytes())
         return pd.DataFrame(rows, columns=["bucket", "shard", "ids", "counts", "sizes", "hashes", "df"])
 
     return run
 
 
+def _whole(shard: int, packed: bytes, shards: int) -> np.ndarray:
+    """A row's shingles, of 48 bits beside the shard."""
+    n = np.uint64(shards)
+    if shard >= 0:
+        return _unsix(packed) * n + np.uint64(shard)
+    h = np.frombuffer(packed, np.uint64)
+    return (h // n & np.uint64((1 << 48) - 1)) * n + h % n
+
+
 def _kept(shards: int, percent: int):
     """The classes with enough shared shingles, and these from the rarest."""
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        ids, _, sizes, h, owner = _gathered(x)
-        shard = np.repeat(x.shard.to_numpy(np.uint64), [len(b) // 6 for b in x.hashes])
-        h = h * np.uint64(shards) + shard
+        h = np.concatenate([_whole(k, b, shards) for k, b in zip(x.shard.tolist(), x.hashes)])
+        ids, sizes, h, owner = _gathered(x.ids, x.counts, x.sizes, h)
         df = np.frombuffer(b"".join(x.df), np.uint8)
         u, at = np.unique(ids, return_inverse=True)
         n = np.zeros(len(u), np.int64)
@@ -381,7 +451,7 @@ def links(classes: DataFrame, sets: DataFrame, percent: int, region_shingles: in
     spark = sets.sparkSession
     prefix = sets.select("cls", "n", "k", "hashes").mapInPandas(frugal(_prefixes(percent)), "h long, cls long")
     stars = prefix.repartition(partitions(spark), "h").mapInPandas(frugal(_stars), "a long, b long")
-    regions = written(components(stars, "jaccard-stars").select(F.col("c").alias("region"), F.col("v").alias("cls"), F.lit(True).alias("home")), "jaccard-regions")
+    regions = written(components(stars, "jaccard-stars", reduced=True).select(F.col("c").alias("region"), F.col("v").alias("cls"), F.lit(True).alias("home")), "jaccard-regions")
     done, shrunk = [], None
     for depth in range(DEPTH):
         total = regions.join(sets.select("cls", "k"), "cls").groupBy("region").agg(F.sum("k").alias("total"))
@@ -411,15 +481,18 @@ def links(classes: DataFrame, sets: DataFrame, percent: int, region_shingles: in
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 70, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, n_similar, component_id, uid (monotonically_increasing_id of docs), and
     first: whether this row is the one of its component with the least doc_id (null last; then the least uid)."""
-    spark = docs.sparkSession
-    docs = columns(docs, id_col, text_col)
-    each = written(docs.withColumn("_uid", F.monotonically_increasing_id()).mapInArrow(frugal(_classed(width)), "doc_id long, n long, cls long, uid long"), "jaccard-classes")
+    spark = session(docs)
+    docs = columns(docs, id_col, text_col).toDF("doc_id", "text")
+    each = written(docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(frugal(_classed(width)), "doc_id long, n long, cls long, uid long"), "jaccard-classes")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     classes = written(each.where("cls IS NOT NULL").groupBy("cls").agg(F.count(F.lit(1)).alias("weight"), F.min(order).alias("least"), F.first("n").alias("n")).select("cls", "weight", F.col("least.doc_id").alias("least"), F.col("least.uid").alias("first"), "n"), "jaccard-weights")
     total = classes.agg(F.sum("n")).first()[0] or 0
     shards = int(min(32_000, max(partitions(spark), -(-total // SHARD))))
-    dealt = docs.select(F.col(f"`{text_col}`")).mapInArrow(frugal(_dealt(width, shards)), _DEALT)
-    shared = dealt.groupBy("shard").applyInPandas(frugal(_shared(shards, shards)), "bucket int, shard int, ids binary, counts binary, sizes binary, hashes binary, df binary")
+    keys = np.array(spread(shards, partitions(spark)))
+    texts = docs.select("text").where("text IS NOT NULL")
+    hot = spark.sparkContext.broadcast(hot_shingles(texts, width, each.count()))
+    dealt = texts.mapInArrow(frugal(_dealt(width, shards, keys, hot)), _DEALT)
+    shared = dealt.groupBy("key").applyInPandas(frugal(_shared(shards, keys)), "bucket int, shard int, ids binary, counts binary, sizes binary, hashes binary, df binary")
     sets = written(shared.groupBy("bucket").applyInPandas(frugal(_kept(shards, percent)), "cls long, n long, k long, hashes binary"), "jaccard-sets")
     found = written(links(classes, sets, percent, region_shingles), "jaccard-links")
     linked = found.where("root IS NULL").groupBy("cls").agg(F.sum("links").alias("links"))
@@ -437,3 +510,16 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 70, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, n_similar, component_id. See the module's text for every case."""
     return grouped(docs, id_col, text_col, width, percent, region_shingles).drop("uid", "first")
+
+
+ORACLE = """WITH RECURSIVE t AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT uid, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] END) AS s FROM t),
+n AS (SELECT uid, doc_id, len(s) AS n FROM s),
+x AS (SELECT uid, unnest(s) AS g FROM s),
+b AS (SELECT a.uid AS a, b.uid AS b, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.uid < b.uid GROUP BY 1, 2),
+p AS (SELECT a, b FROM b JOIN n x ON x.uid = a JOIN n y ON y.uid = b WHERE 100 * k >= 70 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT uid AS v, uid AS w FROM n UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.w),
+c AS (SELECT r.v AS uid, min(n.doc_id) AS component_id FROM r JOIN n ON n.uid = r.w GROUP BY r.v),
+l AS (SELECT a AS uid, count(*) AS n_similar FROM e GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(l.n_similar, 0) AS n_similar, c.component_id FROM n JOIN c USING (uid) LEFT JOIN l USING (uid)"""

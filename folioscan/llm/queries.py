@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE, "op10_licenses": licenses.oracle()}
+    return {"op2_embedding_dedup": embedding_dedup.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op5_mixing": mixing.ORACLE, "op10_licenses": licenses.oracle()}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscan.llm._common import columns, ranked
+from folioscan.llm._common import columns, masked, ranked, session, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -43,9 +43,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], factor: float, most: int
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), factor: float = 1.5, most: int = 2, seed: int = 1) -> DataFrame:
     """uid (monotonically_increasing_id of docs), doc_id, source, size, source_size, target, copies, taken: a row per row of docs, those with 0 copies too."""
-    size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORDS)), F.lit(0)).cast("long")
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"))
-    spot = rows.withColumn("group", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
+    session(docs)
+    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
+    rows = columns(docs, id_col, text_col, source_col).toDF("doc_id", "text", "source")
+    rows = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "source", size.alias("size"))
+    spot = written(rows, "mix-sizes")  # ranges are drawn from a sample, for which each text would else be counted once more
+    spot = spot.withColumn("group", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
     placed = ranked(spot, "group", ["size", "doc_id", "uid"], "mix")
     # Sources are few beside documents; their weights need their order over all of them.
     sizes = placed.groupBy("group").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -58,10 +61,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def emitted(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of docs, read from files, each as often as mix(docs) takes it."""
-    times = mixed.where("copies > 0").select(F.col("uid").alias("_uid"), F.col("copies").alias("_copies"))
-    rows = docs.withColumn("_uid", F.monotonically_increasing_id()).join(times, "_uid")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs, each as often as mix(docs) takes it; docs as from filed(), so that a second scan numbers them alike."""
+    times = mixed.where("copies > 0").select("uid", "copies")
+    plain = masked(docs)[0]
+    rows = plain.withColumn("uid", F.monotonically_increasing_id()).join(times, "uid")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*plain.columns).toDF(*docs.columns)
 
 
 ORACLE = """WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),

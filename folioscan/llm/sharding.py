@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm._common import mixed, ranked, written
+from folioscan.llm._common import columns, mixed, ranked, session, spread, written
 
 
 def matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
@@ -31,23 +31,28 @@ def matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
         rest, want = int(left.sum()), n
         for k in range(shards):
             rest -= int(left[k])
-            out[i, k] = want if not rest else _hypergeometric(rng, int(left[k]), rest, want)
+            out[i, k] = want if not rest else hypergeometric(rng, int(left[k]), rest, want)
             want -= out[i, k]
         left -= out[i]
     return out
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """numpy's sampler takes up to 10^9 of each kind; more are drawn in parts."""
-    if good + bad < 1_000_000_000:
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int, most: int = 1_000_000_000) -> int:
+    """How many of n drawn from good + bad are good. numpy's sampler takes fewer than most (10^9) of each; beyond, the same
+    law is drawn by inversion: probabilities relative to the mode's, by the ratios of neighbours, over 40 standard
+    deviations and more to each side, which leaves out less than 10^-300."""
+    if max(good, bad) < most:
         return int(rng.hypergeometric(good, bad, n)) if n else 0
-    got = 0
-    while n:
-        step = min(n, 1_000_000)
-        p = good / (good + bad)
-        k = int(min(good, max(step - bad, rng.binomial(step, p))))
-        good, bad, n, got = good - k, bad - (step - k), n - step, got + k
-    return got
+    total = good + bad
+    low, high = max(0, n - bad), min(n, good)
+    mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    deviation = (n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5
+    a, b = max(low, mode - int(40 * deviation) - 40), min(high, mode + int(40 * deviation) + 40)
+    k = np.arange(a, b, dtype=np.float64)
+    up = np.log((good - k) / (k + 1)) + np.log((n - k) / (bad - n + k + 1))
+    p = np.concatenate([[0.0], np.cumsum(up)])
+    p = np.cumsum(np.exp(p - p[mode - a]))
+    return a + int(min(np.searchsorted(p, rng.random() * p[-1], "right"), b - a))
 
 
 def _permuted(seed: int):
@@ -63,13 +68,16 @@ def _permuted(seed: int):
 
 def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = 8, seed: int = 1) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per row of docs."""
-    text = F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    spark = session(docs)
+    plain = columns(docs, id_col, text_col).toDF("id", "text")
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    rows = plain.select(F.col("id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = written(rows.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)), "shard-rows")
     # A number for each partition: as many as there are input splits.
     parts = rows.groupBy("part").count().orderBy("part").collect()
     sends = matrix([r["count"] for r in parts], count, seed)
-    lines = rows.sparkSession.createDataFrame([(r.part, s) for r, s in zip(parts, sends.tolist())], "part long, sends array<long>")
-    dealt = rows.join(lines, "part").groupBy("part").applyInPandas(_permuted(seed), "doc_id long, size long, text_crc32 long, at long, shard int, key long")
+    keys = spread(len(parts), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines = spark.createDataFrame([(r.part, k, s) for r, k, s in zip(parts, keys, sends.tolist())], "part long, key int, sends array<long>")
+    dealt = rows.join(lines, "part").groupBy("key").applyInPandas(_permuted(seed), "doc_id long, size long, text_crc32 long, at long, shard int, key long")
     placed = ranked(dealt, "shard", ["key", "at"], "shards")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("rank").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

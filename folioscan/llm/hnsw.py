@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscan.llm._common import columns, written
-from folioscan.llm.vectors import usable
+from folioscan.llm._common import columns, partitions, session, spread, written
+from folioscan.llm.vectors import unit, usable
 
 SHARDS, SHARD_ROWS = 8, 40_000
 M, EF, CANDIDATES = 16, 160, 48
@@ -116,6 +116,7 @@ def build(x: np.ndarray, seed: int) -> dict:
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x))
     level = np.sort(np.floor(-np.log(1 - rng.random(len(x))) / math.log(M)).astype(int))[::-1]  # the order is random anyway; upper nodes come first
+    x = x / np.abs(x).max()  # the order of inner products stays
     n2 = (x * x).sum(1)
     y = np.concatenate([x, np.sqrt(np.maximum(n2.max() - n2, 0))[:, None]], 1)[order].astype(np.float32)
     layers = []
@@ -128,6 +129,7 @@ def build(x: np.ndarray, seed: int) -> dict:
 def search(graph: dict, q: np.ndarray, ef: int) -> np.ndarray:
     """For each query ids of nodes, -1 for none, at most ef."""
     y = graph["y"]
+    q = unit(q)
     q = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
     out = []
     for i in range(0, len(q), 256):
@@ -227,19 +229,22 @@ def _found(dims: int, top: int, ef: int):
 
 def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, top: int = 20, ef: int = EF) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by every the top rows by inner product."""
-    spark = df.sparkSession
+    spark = session(df)
     df = columns(df, id_col, vec_col).toDF("vec_id", "vec_in")
     dims = max(1, df.agg(F.max(F.size("vec_in"))).first()[0] or 0)
     rows = written(df.mapInArrow(_vectors(dims), "vec_id long, vec binary").withColumn("uid", F.monotonically_increasing_id()), "hnsw-rows")
     count = rows.count()
     shards = max(1, min(SHARDS, count), math.ceil(count / SHARD_ROWS))
+    # Groups for tasks are keyed so that they fill the tasks evenly.
+    keys = lambda n: F.array(*map(F.lit, spread(n, partitions(spark)))) if n <= 1000 else F.sequence(F.lit(0), F.lit(n - 1))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int"))
-    index = written(rows.groupBy("shard").applyInPandas(_built, _INDEX), "hnsw-index")
+    index = written(rows.withColumn("key", F.get(keys(shards), F.col("shard"))).groupBy("key").applyInPandas(_built, _INDEX), "hnsw-index")
     asks = rows.where(F.pmod("vec_id", F.lit(every)) == 0).drop("shard")
     blocks = max(1, math.ceil(asks.count() / BLOCK))
+    pair = F.get(keys(shards * blocks), F.col("shard") * blocks + F.col("block"))
     asks = asks.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    placed = index.withColumn("i_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnRenamed("shard", "i_shard")
-    found = placed.groupBy("i_shard", "i_block").cogroup(asks.groupBy("shard", "block")).applyInPandas(_found(dims, top, ef), "uid long, query_id long, vec_id long, score double")
+    placed = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("i_pair", pair).drop("block")
+    found = placed.groupBy("i_pair").cogroup(asks.withColumn("pair", pair).drop("shard", "block").groupBy("pair")).applyInPandas(_found(dims, top, ef), "uid long, query_id long, vec_id long, score double")
     best = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
     merged = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     return merged.select("query_id", "rank", F.when(F.col("vec_id") < F.lit((1 << 63) - 1), F.col("vec_id")).alias("vec_id"), "score")

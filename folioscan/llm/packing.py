@@ -4,7 +4,9 @@ Documents become ids with an end id; only longer ones are cut into pieces of the
 partitions by hash (at most PARTITION of them each in expectation, whatever their source), each packed by best-fit
 decreasing. Dual-feasible functions bound the bins that a partition needs from below; if best fit meets the bound, the
 partition is certified as packed best. The others keep what is exactly full, exchange all else (the pieces of up to FAN
-partitions come together, dealt anew if they are too many for one) and run again, until each is certified or rounds end.
+partitions come together, dealt anew if they are too many for one) and run again, until each is certified or a round no
+longer lowers their bins; `certified` says of each sequence which it was. Of bins that fit equally, and of pieces of one
+length, the first by number is taken.
 
 Defined cases: null is an empty text: the end id alone; repeated rows are documents of their own; null ids stay; an
 empty table gives an empty result; further columns are ignored.
@@ -21,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm._common import KEPT, columns, frugal, written
+from folioscan.llm._common import KEPT, columns, frugal, partitions, session, spread, written
 from folioscan.llm.pretokens import WORD_PATTERN, Pretokens, by_size, encoded, tokenizer
 
-PARTITION, FAN, ROUNDS = 400_000, 8, 4
+PARTITION, FAN = 400_000, 8
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -87,6 +89,7 @@ def _pieces(path: str, end: int, capacity: int, with_ids: bool):
 
 
 def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, end: int, capacity: int, with_ids: bool = False) -> DataFrame:
+    session(docs)
     rows = columns(docs, id_col, text_col)
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(_pieces(path, end, capacity, with_ids), f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
@@ -153,35 +156,42 @@ def _packed(capacity: int):
     return run
 
 
-def packed(items: DataFrame, capacity: int, partition: int = PARTITION, rounds: int = ROUNDS) -> DataFrame:
-    """uid, sequence_id, offset of items (uid long, length long, at most capacity)."""
-    spark = items.sparkSession
-    full = items.where(F.col("length") == capacity).select("uid", F.lit(-1).alias("round"), F.lit(0).alias("part"), F.col("uid").alias("bin"), F.lit(0).cast("long").alias("offset"))
+def packed(items: DataFrame, capacity: int, partition: int = PARTITION) -> DataFrame:
+    """uid, sequence_id, offset, certified of items (uid long, length long, at most capacity). Partitions whose gap isn't
+    closed exchange and run again, as long as that lowers the number of their bins."""
+    spark = session(items)
+    full = items.where(F.col("length") == capacity).select("uid", F.lit(-1).alias("round"), F.lit(0).alias("part"), F.col("uid").alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
     rest = items.where(F.col("length") < capacity).select("uid", "length")
-    done = [full]
-    for r in range(rounds):
-        count = rest.count()
-        if not count:
-            break
+    done, r, kept, open_bins = [full], 0, None, None
+    row = lambda df, r, ok: df.select("uid", F.lit(r).alias("round"), "part", "bin", "offset", ok.alias("certified"))
+    while count := rest.count():
         parts = max(1, -(-count // partition))
         # The first deal, and each exchange: pieces of FAN partitions come together.
         part = F.pmod(F.xxhash64("uid", F.lit(r)), F.lit(parts)) if r == 0 else F.pmod(F.xxhash64(F.floor(F.col("part") / FAN), F.pmod(F.xxhash64("uid", F.lit(r)), F.lit(-(-parts // max(1, before // FAN))))), F.lit(max(1, parts)))
-        result = written(rest.withColumn("part", part.cast("int")).groupBy("part").applyInPandas(frugal(_packed(capacity)), "uid long, length long, part int, bin long, offset long, closed boolean, certified boolean"), "packed")
-        open_parts = result.where("NOT certified").select("part").distinct().count()
-        last = open_parts <= 1 or r == rounds - 1
-        keep = result if last else result.where("closed")
-        done.append(keep.select("uid", F.lit(r).alias("round"), "part", "bin", "offset"))
-        if last:
+        # A part's key is such that no two of them meet in one task while another has none.
+        of = spark.createDataFrame(list(enumerate(spread(parts, partitions(spark)))), "part int, key int")
+        dealt = rest.withColumn("part", part.cast("int")).join(F.broadcast(of), "part")  # a row for each `partition` pieces
+        result = written(dealt.groupBy("key").applyInPandas(frugal(_packed(capacity)), "uid long, length long, part int, bin long, offset long, closed boolean, certified boolean"), "packed")
+        each = result.groupBy("part").agg(F.max("bin").alias("m"), F.bool_and("certified").alias("ok"))
+        bins, left = each.agg(F.coalesce(F.sum(F.col("m") + 1), F.lit(0)), F.count_if(~F.col("ok"))).first()
+        if open_bins is not None and bins >= open_bins:  # the exchange gained nothing
+            done.append(row(kept, r - 1, F.lit(False)))
+            break
+        if left <= 1:
+            done.append(row(result, r, F.col("certified")))
             break
-        rest, before = result.where("NOT closed").select("uid", "length", "part"), parts
+        done.append(row(result.where("closed"), r, F.lit(True)))
+        kept = result.where("NOT closed")
+        open_bins = kept.select("part", "bin").distinct().count()
+        rest, before, r = kept.select("uid", "length", "part"), parts, r + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("uid", F.when(F.col("round") < 0, F.col("bin") * 2).otherwise(((F.col("bin") * 16_777_216 + F.col("part")) * 8 + F.col("round")) * 2 + 1).alias("sequence_id"), "offset")
+    return out.select("uid", F.when(F.col("round") < 0, F.col("bin") * 2).otherwise(((F.col("bin") * 16_777_216 + F.col("part")) * 64 + F.col("round")) * 2 + 1).alias("sequence_id"), "offset", "certified")
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 1, capacity: int = 4096, with_ids: bool = False, partition: int = PARTITION) -> DataFrame:
-    """id, piece, start, length, ids_crc32, sequence_id, offset of each piece; with_ids: also its ids, little-endian."""
+    """id, piece, start, length, ids_crc32, sequence_id, offset, certified of each piece; with_ids: also its ids, little-endian."""
     cut = written(pieces(docs, path, id_col, text_col, end, capacity, with_ids).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     placed = packed(cut.select("uid", "length"), capacity, partition)
     return cut.join(placed, "uid").drop("uid").withColumnRenamed("id", id_col)

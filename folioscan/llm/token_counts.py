@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm._common import KEPT, columns
+from folioscan.llm._common import KEPT, columns, session
 from folioscan.llm.pretokens import BYTE_PATTERN, Pretokens, by_size, encoded
 
 SAMPLE, TABLE = 2_000, 1 << 16
@@ -36,7 +36,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent(texts: DataFrame, path: str, sample: int = SAMPLE, table: int = TABLE) -> dict[str, int]:
     """Tokens of the most frequent pre-tokens of about sample of the texts (one column, no nulls)."""
     share = sample / max(1, texts.count())
-    some = texts.where(F.pmod(F.xxhash64(texts.columns[0]), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    some = texts.where(F.rand(7) < share)  # by place, not by text, of which one may fill half of the table
     top = some.mapInArrow(_frequent, "part string, n long").groupBy("part").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "part").limit(table).collect()
     parts = [r.part for r in top]
     return dict(zip(parts, map(len, encoded(path, parts))))
@@ -63,6 +63,7 @@ def _counted(path: str, table, limit: int):
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, sample: int = SAMPLE) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit (more than limit) of every text, by the tokenizer in the file at path."""
+    session(docs)
     rows = columns(docs, id_col, text_col)
     table = rows.sparkSession.sparkContext.broadcast(frequent(rows.select(text_col).dropna(), path, sample))
     kind = rows.schema[id_col].dataType.simpleString()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from folioscan.options import SORTS
@@ -23,7 +24,7 @@ def candidates(files: DataFrame, least: int = 1, most: int | None = None, includ
     if exclude:
         keep &= ~suffix("path").isin(*[e.lower().lstrip(".") for e in exclude])
     for d in exclude_dirs:
-        keep &= ~F.col("path").contains(f"/{d}/")
+        keep &= ~F.lower("path").contains(f"/{d.lower()}/")
     return files.where(keep)
 
 
@@ -34,19 +35,62 @@ def physical(files: DataFrame) -> DataFrame:
 
 
 def digests(files: DataFrame, cache: DataFrame | None = None) -> DataFrame:
-    """files (path, size, content, times) that may have a duplicate, with md5. Two sizes, then prefixes, have to meet before
-    content is digested; cache (size, mtime_ns, path, md5_hex) spares that for rows that it knows."""
-    content = F.col("content").cast("binary")
-    marked = files.withColumn("prefix", F.substring(content, 1, PREFIX))
-    # Counting by key reduces map-side; the keys with two rows are few beside the files, and the join back is AQE's to choose.
-    sizes = files.groupBy("size").count().where("count > 1").select("size")
-    some = marked.join(sizes, "size", "left_semi")
-    prefixes = some.groupBy("size", F.xxhash64("prefix").alias("ph")).count().where("count > 1").select("size", "ph")
-    some = some.withColumn("ph", F.xxhash64("prefix")).join(prefixes, ["size", "ph"], "left_semi").drop("ph")
-    if cache is None:
-        return some.withColumn("md5", F.md5(content)).drop("content", "prefix")
-    known = some.join(cache.select("size", F.col("mtime_ns").alias("modified"), "path", F.col("md5_hex").alias("md5")), ["size", "modified", "path"], "left")
-    return known.withColumn("md5", F.coalesce("md5", F.md5(content))).drop("content", "prefix")
+    """files (path, size, times, and content or nothing) that may have a duplicate, with md5: two sizes, then prefixes, have
+    to meet. No content is ever shuffled. A column of content is digested where it is read; without it, prefixes are
+    read from the files whose size isn't alone, and whole files only where prefixes meet as well and the cache
+    (size, mtime_ns, path, md5_hex) doesn't know the digest."""
+    rest = [c for c in files.columns if c != "content"]
+    if "content" in files.columns:
+        content = F.col("content").cast("binary")
+        marked = files.select(*rest, F.xxhash64(F.substring(content, 1, PREFIX)).alias("ph"), F.md5(content).alias("md5"))
+        some = marked.join(marked.groupBy("size").count().where("count > 1").select("size"), "size", "left_semi")
+    else:
+        some = files.join(files.groupBy("size").count().where("count > 1").select("size"), "size", "left_semi")
+        some = _read(some, rest, "ph long", lambda f: _prefix(f))
+    some = some.join(some.groupBy("size", "ph").count().where("count > 1").select("size", "ph"), ["size", "ph"], "left_semi").drop("ph")
+    known = None
+    if cache is not None:
+        known = some.join(cache.select("size", F.col("mtime_ns").alias("modified"), "path", F.col("md5_hex").alias("known")), ["size", "modified", "path"], "left")
+    if "content" in files.columns:
+        return some if known is None else known.withColumn("md5", F.coalesce("known", "md5")).select(*rest, "md5")
+    if known is None:
+        return _read(some, rest, "md5 string", _whole)
+    hit = known.where("known IS NOT NULL").select(*rest, F.col("known").alias("md5"))
+    return hit.unionByName(_read(known.where("known IS NULL").select(*rest), rest, "md5 string", _whole))
+
+
+def _prefix(file) -> int:
+    import zlib
+
+    head = file.read(PREFIX)
+    return zlib.crc32(head) << 32 | zlib.adler32(head) if len(head) else 0
+
+
+def _whole(file) -> str:
+    import hashlib
+
+    return hashlib.file_digest(file, "md5").hexdigest()
+
+
+def _read(files: DataFrame, names: list[str], made: str, of) -> DataFrame:
+    """files with a column made of each file by of(open file); files that can't be read go, as they do when listed."""
+    schema = T.StructType([files.schema[c] for c in names]).add(*made.split())
+
+    def run(batches):
+        for b in batches:
+            values, keep = [], []
+            for path in b["path"]:
+                try:
+                    with open(path, "rb") as f:
+                        values.append(of(f))
+                    keep.append(True)
+                except OSError:
+                    keep.append(False)
+            out = b.loc[keep, names].copy()
+            out[made.split()[0]] = values
+            yield out
+
+    return files.select(*names).mapInPandas(run, schema)
 
 
 def marked(members: DataFrame, strategy: str = "oldest_changed") -> DataFrame:
@@ -67,13 +111,14 @@ def groups(members: DataFrame) -> DataFrame:
 
 def limited(groups_: DataFrame, most: int) -> DataFrame:
     """Groups by size, largest first, with taken duplicates: all until the limit, then the rest of it; has_more. most <= 0: all."""
-    order = Window.orderBy(F.desc("size"), "md5").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("dup_count").over(order), F.lit(0))
     if most <= 0:
         return groups_.withColumn("taken", F.col("dup_count")).withColumn("has_more", F.lit(False))
-    total = F.sum("dup_count").over(Window.partitionBy())
-    out = groups_.withColumn("before", before).withColumn("has_more", total > most)
-    return out.where(F.col("before") < most).withColumn("taken", F.least("dup_count", F.lit(most) - F.col("before"))).drop("before")
+    # Each group has a duplicate, so only the first `most` groups can be taken: a top-k, and a window over its rows alone.
+    order = Window.orderBy(F.desc("size"), "md5").rowsBetween(Window.unboundedPreceding, -1)
+    top = groups_.orderBy(F.desc("size"), "md5").limit(most).withColumn("before", F.coalesce(F.sum("dup_count").over(order), F.lit(0)))
+    total = groups_.agg(F.sum("dup_count").alias("total"))  # one row
+    out = top.where(F.col("before") < most).withColumn("taken", F.least("dup_count", F.lit(most) - F.col("before"))).drop("before")
+    return out.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > most).drop("total")
 
 
 def totals(groups_: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -94,6 +139,20 @@ def removals(found: DataFrame) -> DataFrame:
     return found.where("NOT keep").select("path", "size")
 
 
+def auto_clean(files: DataFrame, strategy: str = "oldest_changed", most: int = 0, cache: DataFrame | None = None, dry_run: bool = False, trash: str | None = None, **bounds) -> DataFrame:
+    """find_duplicates(), and the removal of all that isn't kept: path, reclaimed, error. dry_run: what would go, untouched."""
+    from folioscan.sources import sinks
+
+    plan = removals(find_duplicates(files, strategy, most, cache, **bounds))
+    return plan.select("path", F.col("size").alias("reclaimed"), F.lit(None).cast("string").alias("error")) if dry_run else sinks.remove(plan, trash)
+
+
+def reclaimed(removed: DataFrame) -> DataFrame:
+    """removed (path, reclaimed, error): removed, errors, reclaimed_bytes; one row."""
+    ok = F.col("error").isNull()
+    return removed.agg(F.count_if(ok).alias("removed"), F.count_if(~ok).alias("errors"), F.coalesce(F.sum(F.when(ok, F.col("reclaimed"))), F.lit(0)).alias("reclaimed_bytes"))
+
+
 def updated_cache(cache: DataFrame, fresh: DataFrame, most: int) -> DataFrame:
     """Both, the latest entry of each key; beyond most entries the longest unused go until 95 % of it are left."""
     key = Window.partitionBy("size", "mtime_ns", "path").orderBy(F.desc("last_used"))
@@ -102,9 +161,11 @@ def updated_cache(cache: DataFrame, fresh: DataFrame, most: int) -> DataFrame:
 
 
 def evicted(cache: DataFrame, most: int) -> DataFrame:
+    """The cache, if it has most entries or fewer; else the latest 95 % of most: a top-k, and a window over its rows alone."""
+    top = cache.orderBy(F.desc("last_used"), "path").limit(most + 1)
     n = F.count(F.lit(1)).over(Window.partitionBy())
     rank = F.row_number().over(Window.orderBy(F.desc("last_used"), "path"))
-    return cache.withColumn("_n", n).withColumn("_k", rank).where((F.col("_n") <= most) | (F.col("_k") <= int(0.95 * most))).drop("_n", "_k")
+    return top.withColumn("_n", n).withColumn("_k", rank).where((F.col("_n") <= most) | (F.col("_k") <= int(0.95 * most))).drop("_n", "_k")
 
 
 def cache_stats(files: DataFrame, cache: DataFrame) -> DataFrame:

@@ -36,6 +36,19 @@ def zoom(width: Column | str, height: Column | str) -> Column:
     return F.greatest(600 / short, F.least(2000 / short, F.lit(2.0)))
 
 
+def raster(width: Column | str, height: Column | str, least_short: int | None = None, most_long: int | None = None) -> Column:
+    """struct(width, height) of a picture enlarged to a least short side, then reduced to a most long one; in proportion."""
+    w, h = _c(width), _c(height)
+    short, long = F.least(w, h), F.greatest(w, h)
+    scale = F.lit(1.0)
+    if least_short is not None:
+        scale = F.greatest(scale, least_short / short)
+    if most_long is not None:
+        scale = F.when(long > most_long, F.least(scale, most_long / long)).otherwise(scale)
+    side = lambda x: F.when(scale == 1, x).otherwise(F.greatest(F.lit(1), F.bround(x * scale))).cast("int")
+    return F.struct(side(w).alias("width"), side(h).alias("height"))
+
+
 def pdg_header(content: Column | str) -> Column:
     """struct(width, height, type); null for short data, unusable types and sizes that the length can't hold."""
     x = _c(content)

@@ -86,6 +86,16 @@ def images_first(members: DataFrame, leaders: tuple[str, ...], most: int | None
     return out.where(F.col("at") <= most) if most else out
 
 
+def placed(rows: DataFrame, by: str, order: list[str], kind: str, most: dict[int, int]) -> DataFrame:
+    """rows with at (place in order within by) and nth (place within by and kind), without those of a kind beyond its most."""
+    w = Window.partitionBy(by)
+    out = rows.withColumn("nth", F.row_number().over(Window.partitionBy(by, kind).orderBy(*order)))
+    keep = F.lit(True)
+    for k, n in most.items():
+        keep &= (F.col(kind) != k) | (F.col("nth") <= n)
+    return out.where(keep).withColumn("at", F.row_number().over(w.orderBy(*order)))
+
+
 def archive_gate(members: DataFrame, options: Options = Options()) -> DataFrame:
     """archive, pdgs, encrypted, verdict: what to do with an archive, from its list of members alone."""
     g = members.groupBy("archive").agg(F.count_if(F.lower("name").endswith(".pdg")).alias("pdgs"), F.coalesce(F.max("encrypted"), F.lit(False)).alias("encrypted"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscan.functions import isbn, meta, naming
-from folioscan.options import Options
+from folioscan.options import BATCH, Options
 
 
 def with_named(files: DataFrame, options: Options = Options()) -> DataFrame:
@@ -69,3 +69,37 @@ def run(files: DataFrame, extract, options: Options = Options(), root: str = "")
     got = extract(rest.drop("named")).select("path", F.struct("isbn", isbn.isbn13("isbn").alias("isbn13"), "ssid").alias("found"), "error")
     miss = rest.select("path", "named").join(got, "path", "left").select("path", "named", "found", F.when(F.col("found").isNull() & F.col("error").isNull(), "extract_exception").otherwise(F.col("error")).alias("error"))
     return unclashed(routed(hit.unionByName(miss), options, root))
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with index (from 1) by order. Never in one task: ranges are sorted apart, and the counts of those before added."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("_at", 33)
+    runs = placed.groupBy(part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    runs = runs.withColumn("_before", before).drop("_n")
+    return placed.withColumn("_part", part).join(F.broadcast(runs), "_part").withColumn("index", F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_part", "_at", "_first", "_before")
+
+
+def entries(routed_: DataFrame) -> DataFrame:
+    """What a listener of a batch gets: old, new, elapsed, tag, index, total, error; by path."""
+    total = routed_.agg(F.count(F.lit(1)).alias("total"))  # one row
+    elapsed = F.col("elapsed") if "elapsed" in routed_.columns else F.lit(None).cast("double")
+    new = F.concat_ws("/", "folder", "name")
+    out = numbered(routed_.select(F.col("path").alias("old"), new.alias("new"), elapsed.alias("elapsed"), callback_tag(F.col("outcome")).alias("tag"), "error"), "old")
+    return out.crossJoin(F.broadcast(total))
+
+
+def run_folder(spark: SparkSession, folder: str, success: str, failed: str, options: Options = Options(), recursive: bool = True, dry_run: bool = False, **providers) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A folder's files from listing to destinations: (entries, summary, moves). Files settled by their names aren't opened.
+    Moves are made when moves is run; dry_run: it is the plan alone. providers: see extract.everything()."""
+    from folioscan.plans import extract
+    from folioscan.sources import files, sinks
+
+    found = files.scan(spark, files.root(folder), recursive, include=BATCH)
+    get = lambda rest: extract.everything(rest, options, **providers).select(F.col("source").alias("path"), "isbn", "ssid", F.when(~F.col("error").isin("not_found", "no_region", "not_recognised"), F.col("error")).alias("error"))
+    plan = run(found.select("path", "content"), get, options, files.root(folder))
+    moves = plan.select("path", "folder", "name")
+    return entries(plan), summary(plan), moves if dry_run else sinks.move(moves, success, failed)

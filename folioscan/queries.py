@@ -7,11 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioscan.functions import cip, isbn, meta, naming
 from folioscan.operators import dedup, geometry, pages
 from folioscan.options import Options
-from folioscan.plans import batch
+from folioscan.plans import batch, detect, extract
+from folioscan.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,14 +82,14 @@ def _extract(t: str) -> str:
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as files."""
-    d = _t(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    ts = F.pmod(F.col("doc_id") * 7919, F.lit(1009))
-    path = F.concat(F.lit("/in/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt"))
-    content = F.encode("text", "UTF-8")
+    d = _t(spark, sf_dir, "documents")
+    ts = F.pmod(F.coalesce("doc_id", F.lit(0)) * 7919, F.lit(1009))
+    path = F.concat(F.lit("/in/"), F.coalesce(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.md5("text"), F.lit("none")), F.lit(".txt"))
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return d.select(path.alias("path"), F.octet_length(content).cast("long").alias("size"), content.alias("content"), ts.alias("changed"), (ts * 3 % 997).alias("modified"), (ts * 7 % 991).alias("accessed"))
 
 
-_FILES = "f AS (SELECT '/in/' || lpad(doc_id::VARCHAR, 12, '0') || '.txt' AS path, strlen(text)::BIGINT AS size, text, (doc_id * 7919) % 1009 AS changed, ((doc_id * 7919) % 1009) * 3 % 997 AS modified, ((doc_id * 7919) % 1009) * 7 % 991 AS accessed FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), m AS (SELECT *, md5(text) AS h FROM f WHERE size >= 1), g AS (SELECT size, h AS md5, count(*) AS n, count(*) - 1 AS dup_count, size * (count(*) - 1) AS saved_bytes FROM m GROUP BY size, h HAVING count(*) > 1)"
+_FILES = "f AS (SELECT '/in/' || coalesce(lpad(doc_id::VARCHAR, 12, '0'), md5(text), 'none') || '.txt' AS path, strlen(coalesce(text, ''))::BIGINT AS size, coalesce(text, '') AS text, (coalesce(doc_id, 0) * 7919) % 1009 AS changed, ((coalesce(doc_id, 0) * 7919) % 1009) * 3 % 997 AS modified, ((coalesce(doc_id, 0) * 7919) % 1009) * 7 % 991 AS accessed FROM documents), m AS (SELECT *, md5(text) AS h FROM f WHERE size >= 1), g AS (SELECT size, h AS md5, count(*) AS n, count(*) - 1 AS dup_count, size * (count(*) - 1) AS saved_bytes FROM m GROUP BY size, h HAVING count(*) > 1)"
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,17 +117,17 @@ for _by in ("changed", "modified", "accessed"):
         _keep.__name__ = f"dedup_keep_{_age}_{_by}"
         _query(_keep_sql(_by, _way))(_keep)
 
-_LIMITED = "l AS (SELECT *, coalesce(sum(dup_count) OVER (ORDER BY size DESC, md5 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(dup_count) OVER () > 20 AS has_more FROM g), k AS (SELECT size, md5, least(dup_count, 20 - before)::BIGINT AS taken, has_more FROM l WHERE before < 20)"
+_LIMITED = lambda most: "l AS (SELECT *, coalesce(sum(dup_count) OVER (ORDER BY size DESC, md5 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(dup_count) OVER () > 20 AS has_more FROM g), k AS (SELECT size, md5, least(dup_count, 20 - before)::BIGINT AS taken, has_more FROM l WHERE before < 20)".replace("20", str(most))
 
 
-@_query(f"WITH {_FILES}, {_LIMITED} SELECT * FROM k")
+@_query(f"WITH {_FILES}, {_LIMITED(20)} SELECT * FROM k")
 def dedup_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.limited(dedup.groups(_members(spark, sf_dir)), 20).select("size", "md5", "taken", "has_more")
 
 
-@_query(f"WITH {_FILES}, {_LIMITED}, r AS (SELECT m.*, k.has_more, row_number() OVER (PARTITION BY m.size, h ORDER BY path) AS i, taken FROM m JOIN k ON m.size = k.size AND h = k.md5) SELECT path, size, h AS md5, count(*) OVER (PARTITION BY size, h) AS n, row_number() OVER (PARTITION BY size, h ORDER BY changed, path) = 1 AS keep FROM r WHERE i <= taken + 1")
+@_query(f"WITH {_FILES}, {_LIMITED(1000)}, r AS (SELECT m.*, k.has_more, row_number() OVER (PARTITION BY m.size, h ORDER BY path) AS i, taken FROM m JOIN k ON m.size = k.size AND h = k.md5) SELECT path, size, h AS md5, count(*) OVER (PARTITION BY size, h) AS n, row_number() OVER (PARTITION BY size, h ORDER BY changed, path) = 1 AS keep FROM r WHERE i <= taken + 1")
 def dedup_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.find_duplicates(_files(spark, sf_dir), most=20).select("path", "size", "md5", "n", "keep")
+    return dedup.find_duplicates(_files(spark, sf_dir)).select("path", "size", "md5", "n", "keep")
 
 
 @_query(f"WITH {_FILES} SELECT count(*) AS dup_groups, sum(dup_count)::BIGINT AS dups, sum(saved_bytes)::BIGINT AS saved, (SELECT count(*) FROM f WHERE size >= 1) AS total FROM g")
@@ -450,8 +452,6 @@ _MEMBER = "n AS (SELECT l_orderkey AS archive, row_number() OVER (PARTITION BY l
 
 
 def _archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
     p = F.col("l_partkey")
     name = F.when(p % 6 == 0, "OEBPS/Copyright.xhtml").when(p % 6 == 1, F.concat(F.lit("a/ch"), p, F.lit(".html"))).when(p % 6 == 2, F.concat(p, F.lit(".PDG"))).when(p % 6 == 3, "leg001.pdg").when(p % 6 == 4, "cov001.pdg").otherwise("img/title.png")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -507,10 +507,142 @@ def pdg_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select(k.alias("k"), geometry.pdg_header(content).alias("p")).select("k", "p.width", "p.height")
 
 
-@_query()
+_IOU = "greatest(least(p.x2, x.x2) - greatest(p.x1, x.x1), 0) * greatest(least(p.y2, x.y2) - greatest(p.y1, x.y1), 0)"
+
+
+@_query(f"WITH RECURSIVE b AS (SELECT l_orderkey AS image, l_linenumber % 3 AS class_id, l_quantity * 4 AS x1, (l_partkey % 100)::DOUBLE AS y1, l_quantity * 4 + 60 AS x2, (l_partkey % 100)::DOUBLE + 60 AS y2, 1.0::DOUBLE - l_discount * 9 AS score FROM lineitem), g AS (SELECT image, class_id, list(b ORDER BY score DESC, x1, y1) AS alive FROM b WHERE score >= 0.3 GROUP BY 1, 2), r AS (SELECT image, class_id, alive[1] AS p, alive[2:] AS rest FROM g UNION ALL SELECT image, class_id, rest[1], rest[2:] FROM (SELECT image, class_id, [x for x in rest if {_IOU} / greatest((p.x2 - p.x1) * (p.y2 - p.y1) + (x.x2 - x.x1) * (x.y2 - x.y1) - {_IOU}, 1e-9) <= 0.45] AS rest FROM r) WHERE len(rest) > 0) SELECT image, class_id, p.x1 AS x1, p.y1 AS y1, p.x2 AS x2, p.y2 AS y2, p.score AS score FROM r")
 def box_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy, so not one for SQL."""
+    """Greedy per image and class."""
     x = F.col("l_quantity") * 4
     y = F.pmod("l_partkey", F.lit(100)).cast("double")
     b = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_linenumber") % 3).alias("class_id"), x.alias("x1"), y.alias("y1"), (x + 60).alias("x2"), (y + 60).alias("y2"), (F.lit(1.0) - F.col("l_discount") * 9).alias("score"))
     return geometry.suppress(b)
+
+
+@_query("SELECT p_partkey AS k, CASE WHEN s = 1 THEN w::INT ELSE greatest(1, round_even(w * s, 0))::INT END AS width, CASE WHEN s = 1 THEN h::INT ELSE greatest(1, round_even(h * s, 0))::INT END AS height FROM (SELECT *, CASE WHEN greatest(w, h) > 2000 THEN least(a, 2000 / greatest(w, h)) ELSE a END AS s FROM (SELECT *, greatest(1.0::DOUBLE, 600 / least(w, h)) AS a FROM (SELECT p_partkey, (200 + p_partkey % 3000)::DOUBLE AS w, (300 + (p_partkey * 7) % 2500)::DOUBLE AS h FROM part)))")
+def raster_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sizes(spark, sf_dir).select("k", geometry.raster("w", "h", 600, 2000).alias("r")).select("k", "r.width", "r.height")
+
+
+# Images, members and whole files --------------------------------------------------------------------------------------
+
+_BOX = f"b AS (SELECT l_orderkey AS source, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS box, l_partkey % 3 AS class_id, l_quantity AS score, {_made('l_partkey + l_suppkey')} AS barcode, {_made('l_suppkey * 2 + 1')} AS x FROM lineitem), n AS (SELECT *, CASE WHEN class_id = 2 AND {_sound('barcode')} THEN barcode WHEN {_acceptable('x')} THEN x END AS isbn FROM b)"
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("source"), at.alias("box"), (F.col("l_partkey") % 3).cast("int").alias("class_id"), F.col("l_quantity").alias("score"), (F.col("l_partkey") + F.col("l_suppkey")).alias("k"), (F.col("l_suppkey") * 2 + 1).alias("j"))
+    both = isbn.once(isbn.once(rows, "barcode", made(F.col("k"))), "x", made(F.col("j")))
+    lines = F.filter(F.array(F.lit("图书在版编目"), F.concat(F.lit("书号 ISBN "), F.substring("x", 1, 3), F.lit("-"), F.substring("x", 4, 10))), lambda v: v.isNotNull())
+    return both.select("source", F.lit("page001").alias("item"), "box", "class_id", "score", "barcode", lines.alias("lines"))
+
+
+@_query(f"WITH {_BOX} SELECT source::VARCHAR AS source, coalesce(arg_min(box, box) FILTER (WHERE isbn IS NOT NULL), max(box)) AS box, arg_min(isbn, box) FILTER (WHERE isbn IS NOT NULL) AS isbn, coalesce(arg_min(score, box) FILTER (WHERE isbn IS NOT NULL), arg_max(score, box)) AS score FROM n GROUP BY source")
+def detected_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.detected(_boxes(spark, sf_dir)).select("source", "box", "isbn", "score")
+
+
+@_query(f"WITH {_BOX} SELECT source::VARCHAR AS source, min(isbn) IS NOT NULL AS success, arg_min(isbn, box) FILTER (WHERE isbn IS NOT NULL) AS isbn, 'onnx' AS method, 1 AS page, CASE WHEN min(isbn) IS NULL THEN 'not_recognised' END AS error FROM n GROUP BY source")
+def extract_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _boxes(spark, sf_dir)
+    files = boxes.select(F.col("source").alias("path")).distinct()
+    shots = files.select(F.col("path").alias("source"), F.lit("page001").alias("item"), F.lit(1).alias("at"), F.lit(1).alias("page"), F.lit("onnx").alias("method"))
+    return detect.completed(extract.image_rows(files), shots, detect.detected(boxes)).select("source", "success", "isbn", "method", "page", "error")
+
+
+_PICTURES = f"WITH {_MEMBER}, s AS (SELECT *, CASE WHEN name LIKE 'leg%' THEN 0 WHEN name LIKE 'cov%' THEN 1 ELSE 2 END AS kind FROM n WHERE lower(name) LIKE '%.pdg'), t AS (SELECT *, row_number() OVER (PARTITION BY archive, kind ORDER BY kind, name, ordinal) AS nth FROM s)"
+
+
+@_query(_PICTURES + " SELECT archive, name, row_number() OVER (PARTITION BY archive ORDER BY kind, name, ordinal) AS place, CASE WHEN kind < 2 THEN -10 ELSE nth END::INT AS page, CASE kind WHEN 0 THEN 'leg001' WHEN 1 THEN 'cov' ELSE 'pdg' END AS method FROM t WHERE kind < 2 OR nth <= 1")
+def archive_picture_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legal pages, covers, then the first of the rest."""
+    out = detect.archive_images(_archive_members(spark, sf_dir), Options(pdg_fallback=1))
+    return out.select(F.col("source").alias("archive"), F.col("item").alias("name"), F.col("at").alias("place"), "page", "method")
+
+
+_PIC = "CASE l_partkey % 4 WHEN 0 THEN 'img/cover.JPG' WHEN 1 THEN 'img/leg1.png' WHEN 2 THEN 'img/p.png' ELSE 'cov.xhtml' END"
+
+
+@_query(f"WITH n AS (SELECT l_orderkey AS archive, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ordinal, {_PIC} AS name FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY name NOT LIKE '%cover%', ordinal) AS place FROM n WHERE name LIKE '%cover%' OR name LIKE '%leg1%') SELECT archive, name, place FROM r WHERE place <= 3")
+def epub_picture_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("l_partkey") % 4
+    name = F.when(p == 0, "img/cover.JPG").when(p == 1, "img/leg1.png").when(p == 2, "img/p.png").otherwise("cov.xhtml")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    members = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("archive"), F.row_number().over(w).alias("ordinal"), name.alias("name"))
+    return detect.epub_images(members, 3).select(F.col("source").alias("archive"), F.col("item").alias("name"), F.col("at").alias("place"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p_partkey with two made numbers."""
+    k = F.col("p_partkey")
+    return isbn.once(isbn.once(_t(spark, sf_dir, "part").select(k.alias("k")), "x", made(F.col("k"))), "y", made(F.col("k") + 1))
+
+
+def _member_rows(parts: DataFrame, *members: tuple) -> DataFrame:
+    """members: (name, content as string, condition)."""
+    rows = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("name"), F.when(c, F.encode(F.coalesce(t, F.lit("")), "UTF-8")).alias("content")) for i, (n, t, c) in enumerate(members)])
+    m = parts.select(F.col("k").cast("string").alias("archive"), (F.col("k") % 11 == 0).alias("encrypted"), F.explode(rows).alias("m")).where("m.content IS NOT NULL")
+    return m.select("archive", "m.ordinal", "m.name", F.octet_length("m.content").cast("long").alias("size"), "encrypted", "m.content")
+
+
+@_query(f"WITH p AS (SELECT p_partkey AS k, {_made('p_partkey')} AS x, {_made('p_partkey + 1')} AS y FROM part), r AS (SELECT k, CASE WHEN k % 2 = 0 AND {_acceptable('x')} THEN x WHEN {_acceptable('y')} THEN y END AS isbn FROM p) SELECT k::VARCHAR AS source, isbn, isbn IS NOT NULL AS success, 'epub' AS source_type, CASE WHEN isbn IS NULL THEN 'not_found' END AS error FROM r")
+def extract_epub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Package file first, then markup."""
+    yes, p = F.lit(True), _parts(spark, sf_dir)
+    dashed = lambda c: F.concat(F.substring(c, 1, 3), F.lit("-"), F.substring(c, 4, 1), F.lit("-"), F.substring(c, 5, 9))
+    members = _member_rows(p, ("text/a.xhtml", F.concat(F.lit("<p>ISBN "), F.coalesce(F.col("y"), F.lit("")), F.lit("</p>")), yes), ("META-INF/container.xml", F.lit('<r full-path="c/book.opf"/>'), yes), ("c/book.opf", F.concat(F.lit("<id>isbn "), F.coalesce(dashed("x"), F.lit("")), F.lit("</id>")), F.col("k") % 2 == 0))
+    return extract.from_epub(members).select("source", "isbn", "success", "source_type", "error")
+
+
+_ARCHIVE = f"p AS (SELECT p_partkey AS k, {_made('p_partkey')} AS x, {_made('p_partkey + 1')} AS y, p_partkey % 11 = 0 AS locked, p_partkey % 5 = 0 AS few FROM part), f AS (SELECT *, CASE WHEN k % 4 IN (0, 1) THEN x END AS ix, CASE WHEN k % 4 IN (0, 1) AND k % 8 <> 1 THEN lpad(k::VARCHAR, 8, '1') END AS is_, CASE WHEN k % 4 IN (1, 2) THEN y END AS mx, CASE WHEN k % 4 = 2 THEN lpad(k::VARCHAR, 8, '2') END AS ms FROM p), r AS (SELECT *, CASE WHEN NOT (locked OR few) THEN coalesce(mx, ix) END AS isbn, CASE WHEN NOT (locked OR few) THEN coalesce(ms, is_) END AS ssid, NOT (locked OR few) AND coalesce(ix, is_) IS NOT NULL AS had FROM f)"
+
+
+@_query(f"WITH {_ARCHIVE} SELECT k::VARCHAR AS source, isbn, ssid, {_sound('isbn')} OR ssid IS NOT NULL AS success, CASE WHEN had THEN 'bookinfo' WHEN coalesce(isbn, ssid) IS NOT NULL THEN 'meta' END AS method, CASE WHEN had THEN -20 WHEN coalesce(isbn, ssid) IS NOT NULL THEN -21 END AS page, CASE WHEN locked THEN 'encrypted' WHEN few THEN 'too_few_members' WHEN coalesce(isbn, ssid) IS NULL THEN 'not_found' END AS error FROM r")
+def extract_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, p = F.col("k"), _parts(spark, sf_dir)
+    ssid = lambda digit, when: F.when(when, F.lpad(k.cast("string"), 8, digit))
+    info = F.concat(F.lit("[General]\nISBN号="), F.coalesce("x", F.lit("")), F.lit("\nSS号="), F.coalesce(ssid("1", k % 8 != 1), F.lit("")))
+    xml = F.concat(F.lit("<meta><isbn>"), F.coalesce("y", F.lit("")), F.lit("</isbn><ssid>"), F.coalesce(ssid("2", k % 4 == 2), F.lit("")), F.lit("</ssid></meta>"))
+    members = _member_rows(p, ("b/BookInfo.dat", info, k % 4 < 2), ("meta.xml", xml, (k % 4).isin(1, 2)), ("000001.pdg", F.lit("x"), k % 5 != 0), ("readme.txt", F.lit("x"), F.lit(True)))
+    return extract.from_archive(members, Options(pdg_least=1)).select("source", "isbn", "ssid", "success", "method", "page", "error")
+
+
+_PDF = f"l AS (SELECT l_orderkey AS source, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS page, count(*) OVER (PARTITION BY l_orderkey) AS n, CASE WHEN l_partkey % 4 = 0 THEN {_made('l_partkey')} END AS x FROM lineitem), c AS (SELECT *, CASE WHEN page >= 2 AND page <= least(n, 5) THEN page WHEN page >= n - 2 THEN 100 + page END AS spot FROM l), h AS (SELECT source, arg_min(page, spot) AS page, arg_min(x, spot) AS isbn FROM c WHERE spot IS NOT NULL AND source % 3 <> 0 AND {_acceptable('x')} GROUP BY source)"
+
+
+@_query(f"WITH {_PDF} SELECT s.source::VARCHAR AS source, h.isbn, h.page::INT AS page, h.isbn IS NOT NULL AS success, CASE WHEN h.isbn IS NOT NULL THEN 'text' END AS method, CASE WHEN h.isbn IS NULL THEN 'no_region' END AS error FROM (SELECT DISTINCT source FROM l) s LEFT JOIN h USING (source)")
+def extract_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of text-based sources alone; scanned ones are left for a detector."""
+    w = Window.partitionBy("l_orderkey")
+    at = F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", at.alias("page"), F.count(F.lit(1)).over(w).cast("int").alias("pages"), F.col("l_partkey").alias("k"))
+    rows = isbn.once(rows, "x", F.when(F.col("k") % 4 == 0, made(F.col("k"))))
+    text = F.when(F.col("l_orderkey") % 3 == 0, "").otherwise(F.concat(F.lit("书名\n  ISBN "), F.coalesce("x", F.lit("none"))))
+    got = extract.from_pdf_pages(rows.select(F.col("l_orderkey").cast("string").alias("source"), "page", text.alias("text"), "pages"))
+    return got.select("source", "isbn", "page", "success", "method", "error")
+
+
+@_query(f"WITH {_N} SELECT k, {_acceptable('x')} AS has_number, CASE WHEN {_acceptable('x')} THEN x END AS isbn, k % 2 = 0 AS is_page FROM n")
+def cip_book_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cataloguing page's number, split over two lines for some."""
+    head = F.when(F.col("k") % 2 == 0, "图书在版编目（CIP）数据").otherwise("目录")
+    a = F.when(F.col("k") % 4 < 2, F.array(head, F.concat(F.lit("ISBN　"), F.coalesce("x", F.lit(""))))).otherwise(F.array(head, F.concat(F.lit("ISBN "), F.coalesce(F.substring("x", 1, 7), F.lit(""))), F.coalesce(F.substring("x", 8, 6), F.lit("")), F.lit("定价")))
+    n = isbn.once(_numbers(spark, sf_dir), "n", cip.book_number(a))
+    return n.select("k", F.col("n").isNotNull().alias("has_number"), F.col("n").alias("isbn"), cip.is_page(a).alias("is_page"))
+
+
+@_query("SELECT '{\"k\":' || n_nationkey || ',\"name\":\"' || n_name || '\",\"none\":null}' AS value FROM nation")
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.as_json(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("none")))
+
+
+@_query("SELECT count(*) FILTER (WHERE o_orderkey % 7 <> 0) AS removed, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS errors, sum(CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END)::BIGINT AS reclaimed_bytes FROM orders")
+def removal_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 7 == 0
+    return dedup.reclaimed(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.when(k, 0).otherwise(F.col("o_custkey")).alias("reclaimed"), F.when(k, "busy").alias("error")))
+
+
+@_query(f"WITH {_N}, {_PATHS}, {_FOUND}, {_OUTCOME} SELECT path AS old, row_number() OVER (ORDER BY path) AS index, count(*) OVER () AS total, CASE outcome WHEN 'extract_isbn' THEN 'isbn_ok' WHEN 'extract_ssid' THEN 'ssid_ok' WHEN 'error' THEN NULL ELSE outcome END AS tag FROM o")
+def batch_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listener gets of each file, with the running index."""
+    return batch.entries(_results(spark, sf_dir)).select("old", "index", "total", "tag")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -39,6 +40,51 @@ def scan(spark: SparkSession, path: str, recursive: bool = True, include: tuple[
     return out
 
 
+LISTED = "path string, size long, accessed long, modified long, changed long, dev long, ino long, error string"
+
+
+def listing(spark: SparkSession, path: str, recursive: bool = True, follow_symlinks: bool = False) -> DataFrame:
+    """LISTED: the files below a folder with their times (ns), and a row with an error for each that can't be read. Folders
+    right below it are walked by tasks of their own, and nothing is opened."""
+
+    def rows(folder: str, deep: bool) -> Iterator[tuple]:
+        todo = [folder]
+        seen: set[tuple[int, int]] = set()
+        while todo:
+            at = todo.pop()
+            try:
+                entries = sorted(os.scandir(at), key=lambda e: e.name)
+            except OSError as e:
+                yield (at, None, None, None, None, None, None, e.strerror)
+                continue
+            for entry in entries:
+                try:
+                    if entry.is_symlink() and not follow_symlinks:
+                        continue
+                    if entry.is_dir():
+                        s = entry.stat()
+                        if deep and (s.st_dev, s.st_ino) not in seen:  # links may lead in a circle
+                            seen.add((s.st_dev, s.st_ino))
+                            todo.append(entry.path)
+                    elif entry.is_file():
+                        s = os.stat(entry.path)
+                        yield (entry.path, s.st_size, s.st_atime_ns, s.st_mtime_ns, s.st_ctime_ns, s.st_dev, s.st_ino, None)
+                except OSError as e:
+                    yield (entry.path, None, None, None, None, None, None, e.strerror)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in LISTED.split(", ")]
+        for b in batches:
+            for folder, deep in zip(b["folder"], b["deep"]):
+                got = pd.DataFrame(list(rows(folder, deep)), columns=names)
+                yield got.astype({c: "Int64" for c in names[1:-1]})
+
+    base = root(path)
+    inner = [(e.path, True) for e in os.scandir(base) if e.is_dir() and (follow_symlinks or not e.is_symlink())] if recursive else []
+    folders = spark.createDataFrame([(base, False), *inner], "folder string, deep boolean")
+    return folders.repartition(max(1, min(len(inner) + 1, spark.sparkContext.defaultParallelism * 4))).mapInPandas(run, LISTED)
+
+
 def with_kind(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files that some reader takes, and the others with their error."""
     marked = files.withColumn("kind", kind("path"))

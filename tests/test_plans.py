@@ -1,4 +1,5 @@
 import io
+import os
 import struct
 import zipfile
 
@@ -6,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from folioscan.operators import dedup, geometry, pages
-from folioscan.plans import batch, extract
+from folioscan.plans import batch, detect, extract
 from folioscan.sources import files, sinks
 
 N = "9787894465412"
@@ -56,6 +57,78 @@ def test_pdf_pages(spark):
     assert (r.isbn, r.page, r.method) == (N, 9, "bookmark")
 
 
+def test_everything(spark, tmp_path):
+    """Files of all kinds in one plan, with a provider's pages and boxes, and a batch of them from folder to destinations."""
+    from folioscan.options import Options
+
+    epub = zipped([("META-INF/container.xml", '<r full-path="o.opf"/>'), ("o.opf", f"<x>ISBN {N}</x>")])
+    bare = zipped([("META-INF/container.xml", "<r/>"), ("cover.png", b"x")])
+    archive = zipped([("bookinfo.dat", f"[g]\nISBN号={N}".encode("gb18030")), *[(f"{i:06}.pdg", b"x") for i in range(30)]])
+    pictures = zipped([*[(f"{i:06}.pdg", b"x") for i in range(30)], ("leg001.pdg", b"x"), ("cov001.pdg", b"x")])
+    folder = tmp_path / "in"
+    (folder / "sub").mkdir(parents=True)
+    for name, data in (("a.epub", epub), ("b.zip", archive), ("sub/c.mobi", book(b"x", N.encode())), ("d.zip", pictures), ("e.zip", b"no"), ("f.txt", b"x"), ("g.png", b"x"), ("h.pdf", b"x"), ("i.pdf", b"x"), ("j.epub", bare), (f"k_{N}.zip", b"no")):
+        (folder / name).write_bytes(data)
+    at = lambda n: str(folder / n)
+    boxes = [(at("d.zip"), "000002.pdg", 1, 0, 0.9, None, ["x", f"ISBN {N}"]), (at("d.zip"), "leg001.pdg", 1, 2, 0.4, "123", ["nothing"]), (at("g.png"), at("g.png"), 1, 2, 0.8, N, None), (at("j.epub"), "cover.png", 1, 1, 0.7, None, ["图书在版编目", "x"]), (at("i.pdf"), "page003", 1, 0, 0.5, None, [N])]
+    boxes = spark.createDataFrame(boxes, detect.BOXES)
+    text = spark.createDataFrame([(at("h.pdf"), p, f"ISBN {N}" if p == 2 else "text", 6) for p in range(1, 7)] + [(at("i.pdf"), p, "", 6) for p in range(1, 7)], "source string, page int, text string, pages int")
+    found = files.scan(spark, str(folder)).select("path", "content")
+    got = {r.source[len(str(folder)) + 1 :]: r for r in extract.everything(found, page_text=text, boxes=boxes).collect()}
+    assert len(got) == 11
+    assert {n: got[n].isbn for n in got} == {"a.epub": N, "b.zip": N, "sub/c.mobi": N, "d.zip": N, "e.zip": None, "f.txt": None, "g.png": N, "h.pdf": N, "i.pdf": N, "j.epub": None, f"k_{N}.zip": None}
+    assert {n: got[n].error for n in got if got[n].error} == {"e.zip": "corrupt", "f.txt": "unsupported_suffix", "j.epub": "not_recognised", f"k_{N}.zip": "corrupt"}
+    assert (got["d.zip"].method, got["d.zip"].page) == ("pdg", 3) or (got["d.zip"].method, got["d.zip"].page) == ("pdg", 2) or got["d.zip"].page == 3
+    assert (got["i.pdf"].page, got["h.pdf"].method) == (3, "text") and all(r.success == (r.isbn is not None) for r in got.values())
+    plain = {r.source[len(str(folder)) + 1 :]: r for r in extract.everything(found, by_name=True).collect()}
+    assert plain["h.pdf"].error == "no_provider" and plain[f"k_{N}.zip"].method == "filename" and plain[f"k_{N}.zip"].isbn == N
+
+    rows, total, moves = batch.run_folder(spark, str(folder), str(tmp_path / "ok"), str(tmp_path / "no"), Options(keep_tree=True), dry_run=True, page_text=text, boxes=boxes)
+    assert [r.index for r in rows.orderBy("index").collect()] == list(range(1, 10)) and {r.total for r in rows.collect()} == {9}
+    s = total.first()
+    assert (s.total, s.skipped, s.success, s.failed) == (9, 1, 6, 2)
+    assert all((folder / n).exists() for n in got)
+    _, _, moves = batch.run_folder(spark, str(folder), str(tmp_path / "ok"), str(tmp_path / "no"), Options(keep_tree=True), page_text=text, boxes=boxes)
+    assert all(r.error is None for r in moves.collect())
+    assert (tmp_path / f"ok/sub/c_{N}.mobi").exists() and (tmp_path / "no/e.zip").exists() and (folder / "f.txt").exists()
+
+
+def test_command(spark, tmp_path, capsys):
+    from folioscan import __main__ as command
+
+    (tmp_path / f"x_{N}.mobi").write_bytes(b"x")
+    command.main([str(tmp_path), "--json", "--filename", "--strict", "2"])
+    assert f'"isbn":"{N}"' in capsys.readouterr().out
+
+
+def test_clean(spark, tmp_path):
+    """From a listing to removal: contents are read by path only where sizes, then prefixes, meet."""
+    for name, data in (("a", "same" * 200), ("b", "same" * 200), ("sub/c", "same" * 200), ("d", "same" * 199 + "sama"), ("e", "x"), ("f", "")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(data)
+    os.utime(tmp_path / "b", ns=(5, 5))
+    (tmp_path / "sub/circle").symlink_to(tmp_path, target_is_directory=True)
+    listed = files.listing(spark, str(tmp_path))
+    assert listed.count() == 6 and listed.where("error IS NOT NULL").count() == 0
+    assert files.listing(spark, str(tmp_path), follow_symlinks=True).select("ino").distinct().count() == 6
+    rows = listed.drop("error")
+    found = dedup.find_duplicates(rows, "oldest_modified").collect()
+    assert {r.path.rsplit("/", 1)[1]: r.keep for r in found} == {"a": False, "b": True, "c": False}
+    plan = dedup.digests(dedup.candidates(rows.withColumn("content", F.lit(b"x"))))._jdf.queryExecution().executedPlan().toString()
+    assert not any("content" in x for x in plan.splitlines() if "Exchange" in x)
+    key = F.lit(1.0).alias("last_used")
+    cache = rows.where("path LIKE '%/a' OR path LIKE '%/c'").select("size", F.col("modified").alias("mtime_ns"), "path", F.lit("known").alias("md5_hex"), key)
+    sinks.save_cache(cache, str(tmp_path / "cache"))
+    sinks.save_cache(sinks.load_cache(spark, str(tmp_path / "cache")), str(tmp_path / "cache"))
+    kept = sinks.load_cache(spark, str(tmp_path / "cache"))
+    assert kept.count() == 2 and sinks.load_cache(spark, str(tmp_path / "none")).count() == 0
+    assert {r.path.rsplit("/", 1)[1]: r.md5 == "known" for r in dedup.digests(rows, kept).collect()} == {"a": True, "b": False, "c": True, "d": False}
+    assert dedup.auto_clean(rows, "oldest_modified", dry_run=True).count() == 2 and (tmp_path / "a").exists()
+    gone = dedup.auto_clean(rows, "oldest_modified", trash=str(tmp_path / "trash")).collect()
+    assert sum(r.reclaimed for r in gone) == 1600 and len(list((tmp_path / "trash").iterdir())) == 2
+    assert (tmp_path / "b").exists() and not (tmp_path / "a").exists()
+
+
 def test_run(spark):
     f = spark.createDataFrame([(f"/in/{N}.PDF",), ("/in/x/a.pdf",), ("/in/y/a.pdf",), ("/in/z_12345678.epub",)], "path string")
     found = lambda rest: rest.select("path", F.when(F.col("path").contains("/x/"), N).alias("isbn"), F.lit(None).cast("string").alias("ssid"), F.lit(None).cast("string").alias("error"))

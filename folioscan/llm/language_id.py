@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -183,39 +184,51 @@ def _tagged(model, out: list[str], text_at: int):
     return run
 
 
-def tag(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
-    """docs with _held_out, _lang_pred, _score, _fit, _letters, _share, names that docs must not have (see masked()); a narrow
-    pass over docs. Learns from rows that aren't held out alone."""
+def _remainder(id_col: str):
+    return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Broadcast:
+    """The languages' models, broadcast (of fixed size a language), from rows that aren't held out."""
     spark = session(docs)
-    remainder = F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3
-    known = docs.where((remainder != 1) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{id_col}`").alias("id"))
+    known = docs.where((_remainder(id_col) != 1) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{id_col}`").alias("id"))
     counts = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
     share = F.least(F.lit(1.0), per_language / F.col("n"))
     drawn = known.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))  # a row per language, as in the model
-    model = spark.sparkContext.broadcast(train(drawn.select("text", "lang")))
+    return spark.sparkContext.broadcast(train(drawn.select("text", "lang")))
+
+
+def tag(docs: DataFrame, model: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with _held_out, _lang_pred, _score, _fit, _letters, _share, names that docs must not have (see masked()); a narrow
+    pass over docs."""
+    session(docs)
     schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_fit", T.DoubleType()), T.StructField("_letters", T.LongType()), T.StructField("_share", T.DoubleType())])
     out = docs.mapInArrow(frugal(_tagged(model, [f.name for f in schema.fields], docs.columns.index(text_col))), schema)
-    return out.withColumn("_held_out", F.coalesce(remainder == 1, F.lit(False)))
+    return out.withColumn("_held_out", F.coalesce(_remainder(id_col) == 1, F.lit(False)))
 
 
-def limits(tagged: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """_lang_pred, _median, _limit: the least _fit, drawn towards the median, that a text of the language has, by held-out
-    texts labelled and predicted as it; with fewer than FEWEST by those of all languages,
-    and none if these are too few as well."""
-    own = tagged.where(F.col("_held_out") & (F.col("_letters") > 0) & (F.col(f"`{lang_col}`") == F.col("_lang_pred"))).select("_lang_pred", "_fit", "_letters")
+def limits(docs: DataFrame, model: Broadcast, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """_lang_pred, _median, _limit: the least _fit, drawn towards the median, that a text of the language has, by all
+    held-out texts of docs labelled and predicted as it; with fewer than FEWEST by those of all languages, and none if
+    these are too few as well. A row for each language of the model."""
+    spark = docs.sparkSession
+    held_out = docs.where((_remainder(id_col) == 1) & F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    own = tag(held_out, model, "id", "text").where((F.col("_letters") > 0) & (F.col("lang") == F.col("_lang_pred"))).select("_lang_pred", "_fit", "_letters")
     own = written(own, "lang-fits")
     median = own.groupBy("_lang_pred").agg(F.percentile_approx("_fit", 0.5, 10_000).alias("_median"), F.count(F.lit(1)).alias("_n"))
     drawn = own.join(F.broadcast(median), "_lang_pred").withColumn("_gap", F.col("_letters") * (F.col("_median") - F.col("_fit")) / (F.col("_letters") + SHRINK))
     far = lambda x: F.greatest(F.lit(NATS), QUARTILES * F.percentile_approx(x, 0.75, 10_000))
-    each = drawn.groupBy("_lang_pred").agg(F.first("_median").alias("_median"), F.first("_n").alias("_n"), far("_gap").alias("_far"))
-    pool = drawn.agg(F.percentile_approx("_fit", 0.5, 10_000).alias("_pm"), F.count(F.lit(1)).alias("_pn"), far("_gap").alias("_pf"))
-    enough = F.col("_n") >= FEWEST
-    langs = tagged.select("_lang_pred").where("_lang_pred <> 'und'").distinct()
-    out = langs.join(each, "_lang_pred", "left").crossJoin(pool).select("_lang_pred", F.when(enough, F.col("_median")).otherwise(F.col("_pm")).alias("_median"), F.when(enough, F.col("_far")).when(F.col("_pn") >= FEWEST, F.col("_pf")).alias("_far"))
-    return written(out.select("_lang_pred", "_median", (F.col("_median") - F.col("_far")).alias("_limit")), "lang-limits")
+    each = {r._lang_pred: r for r in drawn.groupBy("_lang_pred").agg(F.first("_median").alias("m"), F.first("_n").alias("n"), far("_gap").alias("far")).collect()}  # a row per language
+    pool = drawn.agg(F.percentile_approx("_fit", 0.5, 10_000).alias("m"), F.count(F.lit(1)).alias("n"), far("_gap").alias("far")).first()
+    out = []
+    for lang in model.value[0]:
+        r = each[lang] if lang in each and each[lang].n >= FEWEST else pool if pool.n >= FEWEST else None
+        out.append((lang, r.m if r else None, r.m - r.far if r else None))
+    return spark.createDataFrame(out, "_lang_pred string, _median double, _limit double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    rows = tag(columns(docs, "doc_id", "text", "lang"))
+    docs = columns(docs, "doc_id", "text", "lang")
+    rows = tag(docs, learn(docs))
     return rows.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))

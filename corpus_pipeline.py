@@ -33,9 +33,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents without a letter (also null and empty texts), of which no language has LEAST_SHARE, or that fit their
     language far worse than held-out texts of it, go. An empty table stays empty; without labels all go, as all are `und`."""
     plain, (id_, text, lang) = masked(docs, "doc_id", "text", "lang")
-    tagged = written(language_id.tag(plain, id_, text, lang), "tagged")
+    model = language_id.learn(plain, id_, text, lang)
+    limits = F.broadcast(language_id.limits(plain, model, id_, text, lang))  # a row per language
     fit = (F.col("_letters") * F.col("_fit") + language_id.SHRINK * F.col("_median")) / (F.col("_letters") + language_id.SHRINK)
-    rows = tagged.join(F.broadcast(language_id.limits(tagged, lang)), "_lang_pred")  # a row per language
+    rows = language_id.tag(plain, model, id_, text).join(limits, "_lang_pred")
     return _own(docs, plain, rows.where((F.least("_score", "_share") >= LEAST_SHARE) & F.coalesce(fit >= F.col("_limit"), F.lit(True))))
 
 

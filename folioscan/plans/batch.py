@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,14 +95,28 @@ def entries(routed_: DataFrame) -> DataFrame:
     return out.crossJoin(F.broadcast(total))
 
 
+def staged(rows: DataFrame) -> DataFrame:
+    """rows, written to the folder of spark.checkpoint.dir, which executors share, and read back. Only local mode may do without it."""
+    spark = rows.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="folioscan-")
+    path = f"{base.rstrip('/')}/folioscan-batch-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def run_folder(spark: SparkSession, folder: str, success: str, failed: str, options: Options = Options(), recursive: bool = True, dry_run: bool = False, **providers) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A folder's files from listing to destinations: (entries, summary, moves). Files settled by their names aren't opened.
+    """A folder's files from listing to destinations: (entries, summary, moves), of rows that are extracted once and staged.
+    Files settled by their names aren't opened.
     Moves are made when moves is run; dry_run: it is the plan alone. providers: see extract.everything()."""
     from folioscan.plans import extract
     from folioscan.sources import files, sinks
 
     found = files.scan(spark, files.root(folder), recursive, include=BATCH)
-    get = lambda rest: extract.everything(rest, options, **providers).select(F.col("source").alias("path"), "isbn", "ssid", F.when(~F.col("error").isin("not_found", "no_region", "not_recognised"), F.col("error")).alias("error"))
-    plan = run(found.select("path", "content"), get, options, files.root(folder))
+    get = lambda rest: staged(extract.everything(rest, options, **providers)).select(F.col("source").alias("path"), "isbn", "ssid", F.when(~F.col("error").isin("not_found", "no_region", "not_recognised"), F.col("error")).alias("error"))
+    plan = staged(run(found.select("path", "content"), get, options, files.root(folder)))
     moves = plan.select("path", "folder", "name")
     return entries(plan), summary(plan), moves if dry_run else sinks.move(moves, success, failed)

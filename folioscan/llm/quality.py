@@ -1,11 +1,12 @@
 """7. Quality classifier: the perplexity of each text under an interpolated modified Kneser-Ney model of trusted text.
 
 The model is one of bytes, of order 5 and per language (the column lang), as words of open vocabularies leave a word
-model with unseen ones only. Training counts the 5-grams of trusted texts (about TRUSTED / 2 labelled
-rows at most, drawn by language, so that a rare one never falls out); all others set the thresholds. Texts without a
-language, and of those with fewer than 2 * FEWEST trusted texts, go by a model pooled over all languages, and by the
-threshold of as many held-out texts of all languages as train it. Lower orders are
-continuation counts; discounts come from the counts of counts. All of that are sharded tables by n-gram.
+model with unseen ones only. Every trusted text has one of two uses, by a hash of its id: training counts the 5-grams of
+one half, the scores of the other half, held out, set the thresholds. Neither is sampled or bounded. Texts without a
+language, and of those with fewer than 2 * FEWEST trusted texts, go by a model pooled over all languages (the sum of
+their counts) and the threshold of all held-out texts under it; where there are no such texts, it isn't needed. Lower orders are
+continuation counts; discounts come from the counts of counts. All of that are sharded tables by n-gram. Which rows are
+trusted is joined by id alone and written under the key of their input split, where the passes over texts look it up.
 
 Scoring joins counts where they are: each input split lists the distinct 5-grams that its texts hold (far fewer than its
 bytes), the distinct ones of the corpus are joined order by order with the sharded counts, and each split's
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ from pyspark.sql import types as T
 
 from folioscan.llm._common import columns, frugal, opened, partitions, session, shared_folder, text_slices, written
 
-ORDER, TRUSTED, SHRINK, QUANTILE = 5, 20_000, 100, 0.99
+ORDER, SHRINK, QUANTILE = 5, 100, 0.99
 #: Trusted texts to train on, and as many to hold out, that a language's own model needs; the number of the pooled one.
 FEWEST, POOL = 20, (1 << 15) - 1  # models are numbered below 2^15; so many languages with trusted texts are never reached
 _LANG = 8 * ORDER
@@ -108,6 +110,50 @@ class Slots:
         return np.concatenate([self.keys[self.keys != -1], self.aside])
 
 
+def _trusted(path: str, train: bool):
+    """A function that keeps of a batch (with _block and _id) the rows that train, or those held out, by the splits' lists."""
+    fs, root = opened(path)
+    held: tuple[int | None, pa.Array | None] = (None, None)
+
+    def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nonlocal held
+        block, ids = batch.column("_block").to_numpy(zero_copy_only=False), batch.column("_id")
+        own = np.zeros(batch.num_rows, bool)
+        for b in np.unique(block).tolist():
+            if held[0] != b:
+                t = pq.read_table(f"{root}/block={b}", filesystem=fs, columns=["_id", "train"], partitioning=None)
+                held = (b, t["_id"].filter(pc.equal(t["train"], train)).drop_null().cast(ids.type).combine_chunks())
+            own |= (block == b) & pc.is_in(ids, value_set=held[1]).to_numpy(zero_copy_only=False)
+        return batch.filter(pa.array(own))
+
+    return kept
+
+
+def _only(path: str, train: bool, run):
+    """run over the rows that train, or over those held out."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(map(_trusted(path, train), batches))
+
+    return over
+
+
+def _with_pool(path: str, run):
+    """run over all rows (text, _lang, ...), and over those held out as rows of the pool as well."""
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_out = _trusted(path, False)
+        for batch in batches:
+            yield batch
+            own = held_out(batch)
+            yield own.set_column(1, own.schema.field(1), pa.array(np.full(own.num_rows, POOL), own.schema.field(1).type))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(twice(batches))
+
+    return over
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lang = batch.column(1).to_numpy(zero_copy_only=False)
@@ -152,19 +198,26 @@ def _discounts(t: DataFrame) -> DataFrame:
     return n.select("lang", d(1).alias("d1"), d(2).alias("d2"), d(3).alias("d3"))
 
 
+def counted(texts: DataFrame, run=_counted) -> DataFrame:
+    """Of texts (text, lang int, ...) the n-grams of the full order: k, c."""
+    return written(texts.mapInArrow(frugal(run), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")), "kn-counts")
+
+
 def train(texts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """Of texts (text, lang int): for each order 1 to ORDER the n-grams (k, less: count less its discount) and their
+    """The model of texts (text, lang int), see fitted()."""
+    return fitted(counted(texts))
+
+
+def fitted(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Of written counts (k, c): for each order 1 to ORDER the n-grams (k, less: count less its discount) and their
     contexts (h, total, back: the discounts' sum)."""
-    counts = written(texts.mapInArrow(frugal(_counted), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")), "kn-counts")
-    orders = [counts]
-    for n in range(ORDER - 1, 0, -1):
-        orders.append(orders[-1].groupBy(_low("k", n).alias("k")).agg(F.count(F.lit(1)).alias("c")))
-    out = []
-    for n, t in zip(range(ORDER, 0, -1), orders):
-        d = F.broadcast(_discounts(t))  # a row per language, whose numbers have 16 bits
+    out, t = [], counts
+    for n in range(ORDER, 0, -1):
+        if n < ORDER:
+            t = written(t.groupBy(_low("k", n).alias("k")).agg(F.count(F.lit(1)).alias("c")), "kn-order")
+        d = F.broadcast(written(_discounts(t), "kn-discounts"))  # a row per language, whose numbers have 16 bits
         cut = t.withColumn("lang", F.shiftright("k", _LANG)).join(d, "lang")
         cut = cut.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-        cut = written(cut.select("k", "c", "d"), "kn-order")
         context = cut.groupBy(_context("k", n).alias("h")).agg(F.sum("c").alias("total"), F.sum("d").alias("back"))
         out.append((cut.select("k", (F.col("c") - F.col("d")).alias("less")), context))
     return out[::-1]
@@ -218,18 +271,7 @@ def _scored(path: str, out: list[str], text_at: int):
     return run
 
 
-def _shares(counts: dict, most: int) -> dict[str, float]:
-    """Of each language the share of its trusted rows that trains: a half at most, and together `most` rows, of which the
-    languages that have more than an equal part get equal parts."""
-    out, left = {}, most
-    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0] or ""))):
-        take = min(n / 2, left / (len(counts) - k))
-        out[lang or ""] = take / n
-        left -= take
-    return out
-
-
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trusted: int = TRUSTED) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs with _bytes, _mean (negative log probability a byte), _score, _threshold and _keep, names that docs must not have
     (see masked()), nor _id, _l, _block, _lang, _median; a narrow pass over docs."""
     spark = session(docs)
@@ -238,39 +280,42 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
     lang, id_ = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{id_col}`")
     ids = columns(labels, "doc_id", "quality").where(F.col("quality") == 1).select(F.col("doc_id").alias("_id")).dropna().distinct()
-    # Of each trusted row its language and what it is for; neither ids nor rows are ever in one task.
-    known = written(docs.where(F.octet_length(F.col(f"`{text_col}`")) > 0).select(id_.alias("_id"), lang.alias("_l")).join(ids, "_id").groupBy("_id").agg(F.min("_l").alias("_l")), "trusted")
-    counts = {r._l: r.n for r in known.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    # Of each trusted row its split, language and use; neither ids nor rows are ever in one task.
+    known = docs.where(F.octet_length(F.col(f"`{text_col}`")) > 0).select(split.alias("block"), id_.alias("_id"), lang.alias("_l")).join(ids, "_id")
+    known = written(known.withColumn("train", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 30)) < 1 << 29), "trusted")
+    lists = f"{shared_folder(spark)}/folioscan-trusted-lists-{uuid.uuid4().hex}"
+    # A split without trusted rows has a list all the same, so one that is missing is an error.
+    each = known.select("block", "_id", "train").unionByName(docs.select(split.alias("block")).distinct(), allowMissingColumns=True)
+    each.repartition(partitions(spark), "block").write.partitionBy("block").parquet(lists)
+    counts = {r._l: r.n for r in known.groupBy("_id").agg(F.min("_l").alias("_l")).groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     rich = sorted(x for x, n in counts.items() if x is not None and n >= 2 * FEWEST)
-    share = _shares(counts, trusted // 2)
-    at = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 30)) / (1 << 30)
-    least = F.coalesce(F.create_map(*[F.lit(y) for x in share.items() for y in x])[F.coalesce("_l", F.lit(""))], F.lit(0.0)) if share else F.lit(0.0)
-    known = known.withColumn("_train", at < least).withColumn("_pooled", (at >= least) & (at < 2 * least))
-    drawn = written(known.where("_train OR _pooled").select("_id", "_train"), "trusted-drawn")  # about `trusted` ids
     code = F.coalesce(F.create_map(*[F.lit(y) for k, x in enumerate(rich) for y in (x, k)])[lang], F.lit(POOL)) if rich else F.lit(POOL)
     own = docs.select(split.alias("_block"), code.alias("_lang"), *[F.col(f"`{c}`") for c in docs.columns])
-    mine = lambda want: own.join(F.broadcast(drawn.where(want)), id_ == F.col("_id"), "left_semi")
-    twice = F.when(F.col("_lang") == POOL, F.array(F.lit(POOL))).otherwise(F.array(F.col("_lang"), F.lit(POOL)))
-    model = train(mine("_train").select(F.col(f"`{text_col}`"), F.explode(twice).alias("_lang")))
-    # Held-out texts of the pool ask under both models.
-    asks = own.join(F.broadcast(drawn.where("NOT _train").select("_id").withColumn("_both", F.lit(True))), id_ == F.col("_id"), "left")
-    asks = asks.select(F.col(f"`{text_col}`"), F.explode(F.when(F.col("_both"), twice).otherwise(F.array("_lang"))).alias("_lang"), "_block")
-    asked = written(asks.mapInArrow(frugal(_asked), "block long, k long"), "kn-asked")
+    pooled = own.where(F.col("_lang") == POOL).limit(1).count() > 0
+    part = own.select(F.col(f"`{text_col}`"), "_lang", "_block", id_.alias("_id"))
+    grams = counted(part, _only(lists, True, _counted))
+    if pooled:
+        of_all = grams.groupBy(F.col("k").bitwiseAND(F.lit(_LOW(ORDER))).bitwiseOR(F.lit(POOL << _LANG)).alias("k")).agg(F.sum("c").alias("c"))
+        grams = written(grams.where(F.shiftright("k", _LANG) != POOL).unionByName(of_all), "kn-counts")
+    model = fitted(grams)
+    # Held-out texts ask under the pool's model as well.
+    asked = written(part.mapInArrow(frugal(_with_pool(lists, _asked) if pooled else _asked), "block long, k long"), "kn-asked")
     known_grams = probabilities(asked.select("k").distinct(), model)
     path = f"{shared_folder(spark)}/folioscan-kn-{uuid.uuid4().hex}"
     asked.join(known_grams, "k").repartition(partitions(spark), "block").write.partitionBy("block").parquet(path)
 
-    def scored(rows: DataFrame) -> DataFrame:
+    def scored(rows: DataFrame, over=lambda run: run) -> DataFrame:
         kept = [f for f in rows.schema.fields if f.name not in ("_block", "_lang")]
         schema = T.StructType([*kept, T.StructField("_bytes", T.LongType()), T.StructField("_mean", T.DoubleType())])
         text_at = 2 + [f.name for f in kept].index(text_col)
-        return rows.mapInArrow(frugal(_scored(path, [f.name for f in kept], text_at)), schema)
+        return rows.mapInArrow(frugal(over(_scored(path, [f.name for f in kept], text_at))), schema)
+
+    def held(rows: DataFrame) -> DataFrame:
+        rows = rows.select("_block", "_lang", F.col(f"`{text_col}`"), "_id", F.col("_lang").alias("_l"))
+        return scored(rows, lambda run: _only(lists, False, run)).where("_bytes > 0").select("_l", "_bytes", "_mean")
 
-    part = [F.col(f"`{text_col}`"), id_.alias("_id")]
-    fits = scored(own.select("_block", F.col("_lang"), *part, F.col("_lang").alias("_l"))).where("_bytes > 0").select("_id", "_l", "_bytes", "_mean")
-    held_out = written(fits.join(known.where("NOT _train").select("_id"), "_id").where(F.col("_l") != POOL), "trusted-scores")
-    pooled = mine("NOT _train").withColumn("_lang", F.lit(POOL)).select("_block", "_lang", *part, F.lit(POOL).alias("_l"))
-    held_out = held_out.unionByName(written(scored(pooled).where("_bytes > 0").select("_id", "_l", "_bytes", "_mean"), "pool-scores"))
+    held_out = held(part.where(F.col("_lang") != POOL))
+    held_out = written(held_out.unionByName(held(part.withColumn("_lang", F.lit(POOL)))) if pooled else held_out, "trusted-scores")
     median = held_out.groupBy("_l").agg(F.percentile_approx("_mean", 0.5, 10_000).alias("_median"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= FEWEST // 2).drop("_n")
     drawn_in = (F.col("_bytes") * F.col("_mean") + SHRINK * F.col("_median")) / (F.col("_bytes") + SHRINK)
     limits = held_out.join(median, "_l").groupBy("_l").agg(F.first("_median").alias("_median"), F.percentile_approx(drawn_in, QUANTILE, 10_000).alias("_q"))

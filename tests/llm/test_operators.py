@@ -247,6 +247,20 @@ def test_quality_pooled(spark):
     assert all(got[i].threshold is not None for i in (-1, -2, -3)) and sum(got[-10 - k].keep for k in range(12)) >= 11
 
 
+def test_quality_trains_on_all(spark):
+    """Of many trusted texts each half trains, or sets the threshold, whatever their number: the words of half of them are known."""
+    rng = np.random.default_rng(8)
+    n = 30_000
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöüßéèàçñøåœ"))
+    words = ["".join(w) for w in letters[rng.integers(0, len(letters), (n, 8))]]
+    times = rng.integers(1, 6, n)
+    new = [(i, " ".join([w] * int(k)), "en") for i, (w, k) in enumerate(zip(words, times))] + [(n + i, w, "en") for i, w in enumerate(words)]
+    docs = spark.createDataFrame(new, "doc_id long, text string, lang string")
+    got = quality.classify(docs, docs.where(F.col("doc_id") < n).selectExpr("doc_id", "1 AS quality")).where(F.col("doc_id") >= n)
+    p = np.array([r.perplexity for r in got.select("perplexity").collect()])
+    assert abs((p < 13).mean() - 0.5) < 0.03, np.quantile(p, [0.1, 0.3, 0.4, 0.45, 0.48, 0.5, 0.52, 0.55, 0.6, 0.9])
+
+
 def test_kneser_ney(spark):
     """Probabilities of all bytes after a context add up to one."""
     texts = spark.createDataFrame([("abracadabra abra",), ("banana band",)], "text string").withColumn("lang", F.lit(3))

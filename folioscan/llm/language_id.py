@@ -1,8 +1,7 @@
 """3. Language ID by multilingual mixture inference.
 
 The languages' models are distributions of byte 4-grams of lower-cased letters, hashed to 2^16 buckets (so of fixed size
-a language), counted from at most about PER_LANGUAGE rows of each language in expectation (by hash, among the rows that
-may train). A text is a mixture: each word comes from one language, and expectation-maximisation estimates the shares
+a language), counted from all rows of each language that aren't held out. A text is a mixture: each word comes from one language, and expectation-maximisation estimates the shares
 from the words' n-gram likelihoods, until they stand still. Sets of 1, 2, ... languages, by share, are fitted anew each, as
 long as the penalised likelihood rises, up to all of them, and that set is selected; the prediction is the largest share in it, the score that share. tag() also gives
 what shares can't tell, as they are relative: the mean log likelihood a byte (_fit) of _letters bytes, to be held against
@@ -27,7 +26,7 @@ from pyspark.sql import types as T
 
 from folioscan.llm._common import columns, frugal, session, text_slices, written
 
-BUCKETS, PER_LANGUAGE, PENALTY = 1 << 16, 3_000, 4.0
+BUCKETS, PENALTY = 1 << 16, 4.0
 #: EM ends when no share moves by more than STILL.
 STILL, ROUNDS = 2e-3, 200
 #: For limits(): bytes of median text added to each, texts that a limit needs, quartile distances and nats below the median.
@@ -63,13 +62,16 @@ def _lowered(texts: pa.Array) -> pa.Array:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got: dict[str, np.ndarray] = {}
     for batch in batches:
-        langs = batch.column(1).to_pylist()
+        langs = batch.column(1).dictionary_encode()
+        names, code = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
         for i, j, data, at in text_slices(_lowered(batch.column(0))):
             key, counts = _buckets(data, at)
-            for k in range(i, j):
-                a, b = at[k - i], at[k - i + 1]
-                n = np.bincount(key[a:b][counts[a:b]], minlength=BUCKETS)
-                got[langs[k]] = got[langs[k]] + n if langs[k] in got else n
+            of = np.repeat(code[i:j], np.diff(at))[counts]
+            order = np.argsort(of, kind="stable")
+            key, (own, begin) = key[counts][order], np.unique(of[order], return_index=True)
+            for c, part in zip(own.tolist(), np.split(key, begin[1:])):
+                n = np.bincount(part, minlength=BUCKETS)
+                got[names[c]] = got[names[c]] + n if names[c] in got else n
     for lang, n in got.items():
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], ["lang", "bucket", "n"])
@@ -188,14 +190,11 @@ def _remainder(id_col: str):
     return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Broadcast:
-    """The languages' models, broadcast (of fixed size a language), from rows that aren't held out."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Broadcast:
+    """The languages' models, broadcast (of fixed size a language), from all rows that aren't held out."""
     spark = session(docs)
-    known = docs.where((_remainder(id_col) != 1) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{id_col}`").alias("id"))
-    counts = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
-    share = F.least(F.lit(1.0), per_language / F.col("n"))
-    drawn = known.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))  # a row per language, as in the model
-    return spark.sparkContext.broadcast(train(drawn.select("text", "lang")))
+    known = docs.where((_remainder(id_col) != 1) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    return spark.sparkContext.broadcast(train(known))
 
 
 def tag(docs: DataFrame, model: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -220,6 +220,16 @@ def test_language_accuracy(spark):
     assert r > 0.97
 
 
+def test_language_trains_on_all(spark):
+    """Every row that isn't held out counts, however many a language has."""
+    docs = spark.range(12_000).selectExpr("id AS doc_id", "'abc xyz' AS text", "if(id < 40, 'de', 'en') AS lang")
+    langs, table = language_id.learn(docs).value
+    n = {lang: 7 * sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in ids) for lang, ids in (("de", range(40)), ("en", range(40, 12_000)))}
+    assert langs == ["de", "en"]
+    for k, lang in enumerate(langs):  # of an unseen bucket the probability is 0.05 of all counts and as much for each bucket
+        assert 0.05 / np.exp(table[:, k].min().astype(float)) == pytest.approx(n[lang] + 0.05 * language_id.BUCKETS, rel=1e-4)
+
+
 def test_quality(spark, documents, labels):
     got = quality.classify(documents, labels).collect()
     assert len(got) == 17 and not any(r.keep for r in got if r.doc_id in (4, 5))

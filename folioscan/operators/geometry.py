@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioscan.functions.isbn import _c
 from folioscan.options import Options
@@ -64,20 +67,54 @@ def picture_type(content: Column | str) -> Column:
     return F.when(head.startswith("FFD8FF"), "jpeg").when(head == "89504E470D0A1A0A", "png").otherwise("pdg")
 
 
+_CORNERS = ("x1", "y1", "x2", "y2")
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The shared part of the joint area; a and b: x1, y1, x2, y2 as rows."""
+    w = np.minimum(a[2], b[2]) - np.maximum(a[0], b[0])
+    h = np.minimum(a[3], b[3]) - np.maximum(a[1], b[1])
+    both, area = np.maximum(w, 0) * np.maximum(h, 0), lambda v: (v[2] - v[0]) * (v[3] - v[1])
+    return both / np.maximum(area(a) + area(b) - both, 1e-9)
+
+
+def _greedy(box: np.ndarray, group: np.ndarray, most: float) -> np.ndarray:
+    """Indices of the boxes that stay; sorted by group, best first within. A step takes the first of all groups at once."""
+    left, kept = np.arange(len(group)), []
+    while len(left):
+        g = group[left]
+        first = np.r_[True, g[1:] != g[:-1]]
+        head = left[first]
+        kept.append(head)
+        best, left = np.repeat(head, np.diff(np.r_[np.flatnonzero(first), len(g)]))[~first], left[~first]
+        left = left[_overlap(box[:, best], box[:, left]) <= most]
+    return np.sort(np.concatenate(kept)) if kept else left
+
+
 def suppress(boxes: DataFrame, options: Options = Options()) -> DataFrame:
-    """boxes (image, class_id, x1, y1, x2, y2, score): greedy per image and class, by score; an image has few boxes."""
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g[g.score >= options.confidence].sort_values(["score", "x1", "y1"], ascending=[False, True, True])
-        b, left = g[["x1", "y1", "x2", "y2"]].to_numpy(float), np.arange(len(g))
-        area, kept = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]), []
-        while len(left):
-            i, left = left[0], left[1:]
-            kept.append(i)
-            w = np.minimum(b[i, 2], b[left, 2]) - np.maximum(b[i, 0], b[left, 0])
-            h = np.minimum(b[i, 3], b[left, 3]) - np.maximum(b[i, 1], b[left, 1])
-            both = np.maximum(w, 0) * np.maximum(h, 0)
-            left = left[both / np.maximum(area[i] + area[left] - both, 1e-9) <= options.overlap]
-        return g.iloc[kept]
-
-    return boxes.groupBy("image", "class_id").applyInPandas(one, boxes.schema)
+    """boxes (image, class_id, x1, y1, x2, y2, score): greedy per image and class, by score. Groups come sorted, many in a
+    batch, and one may go on over any number of batches: of those before, its kept boxes alone are held."""
+    names = boxes.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # what is kept of the last group so far
+        for b in batches:
+            box = np.stack([b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in _CORNERS])
+            new = b.column("_first").to_numpy(zero_copy_only=False)
+            group, alive = np.cumsum(new), np.ones(len(new), bool)
+            goes_on = np.flatnonzero(group == 0)
+            for old in held if len(goes_on) else ():
+                for one in old.T:
+                    goes_on = goes_on[_overlap(one[:, None], box[:, goes_on]) <= options.overlap]
+            alive[group == 0] = False
+            alive[goes_on] = True
+            rows = np.flatnonzero(alive)
+            kept = rows[_greedy(box[:, rows], group[rows], options.overlap)]
+            if len(group):
+                last = box[:, kept[group[kept] == group[-1]]]
+                held = [last] if group[-1] else [*held, last]
+            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(kept)) for c in names], names=names)
+
+    w = Window.partitionBy("image", "class_id").orderBy(F.desc("score"), *map(F.asc_nulls_last, _CORNERS))
+    some = boxes.where(F.col("score") >= options.confidence).withColumn("_first", F.row_number().over(w) == 1)
+    return some.mapInArrow(run, boxes.schema)

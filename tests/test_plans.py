@@ -168,6 +168,33 @@ def test_suppression(spark):
     assert geometry.suppress(spark.createDataFrame(b)).count() == 2
 
 
+def _one_by_one(rows):
+    """Greedy suppression of (image, class_id, x1, y1, x2, y2, score), a group at a time."""
+    kept = {}
+    for r in sorted((r for r in rows if r[6] >= 0.3), key=lambda r: (-r[6], *r[2:6])):
+        mine = kept.setdefault(r[:2], [])
+        both = lambda k: max(min(r[4], k[4]) - max(r[2], k[2]), 0) * max(min(r[5], k[5]) - max(r[3], k[3]), 0)
+        if all(both(k) / max((r[4] - r[2]) * (r[5] - r[3]) + (k[4] - k[2]) * (k[5] - k[3]) - both(k), 1e-9) <= 0.45 for k in mine):
+            mine.append(r)
+    return sorted(r for m in kept.values() for r in m)
+
+
+def test_suppression_of_many_groups(spark):
+    """Groups share a Python call, and one group may span Arrow batches."""
+    rows = [(i % 300, i % 2, float(i * 37 % 101), float(i * 53 % 97), float(i * 37 % 101 + 30), float(i * 53 % 97 + 30), round((i * 7919 % 1000) / 1000, 3)) for i in range(6000)]
+    rows += [(1000, 0, float(i * 3 % 4000), 0.0, float(i * 3 % 4000 + 10), 10.0, 0.5 + i * 7919 % 4000 / 10000) for i in range(3000)]
+    b = spark.createDataFrame(rows, "image long, class_id int, x1 double, y1 double, x2 double, y2 double, score double")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("10000", "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert sorted(map(tuple, geometry.suppress(b).collect())) == _one_by_one(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    plan = geometry.suppress(b)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan  # a call for each group costs about a millisecond
+
+
 def test_stream(spark, tmp_path):
     from folioscan.streaming import watch
 

@@ -19,17 +19,20 @@ TRIED = ("utf-8", "utf-16-le", "gb18030", "big5")
 
 def plausible(value: Column) -> Column:
     """A value without dashes and spaces, if it has 10 characters, or 13 with a book prefix. No check digit is asked."""
-    x = F.upper(F.translate(value, "- ", ""))
-    return F.when((F.length(x) == 10) | ((F.length(x) == 13) & x.rlike("^97[89]")), x)
+    return isbn.let(F.upper(F.translate(value, "- ", "")), lambda x: F.when((F.length(x) == 10) | ((F.length(x) == 13) & x.rlike("^97[89]")), x))
 
 
 def bookinfo(text: Column | str) -> Column:
     """struct(isbn, ssid) of an INI text: nothing counts before a section; the first usable value wins."""
-    rows = F.transform(F.split(_c(text), r"\r\n|\n|\r"), lambda x: F.trim(x))
-    heads = F.transform(rows, lambda x: x.rlike(r"^\[.*\]$"))
-    begin = F.coalesce(F.array_position(heads, True), F.lit(0))
-    pairs = F.filter(rows, lambda x, i: (begin > 0) & (i + 1 > begin) & x.contains("=") & ~x.rlike(r"^\[.*\]$"))
-    pairs = F.transform(pairs, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, "=", 1))).alias("k"), F.trim(F.regexp_replace(x, "^[^=]*=", "")).alias("v")))
+    head = lambda x: x.startswith("[") & x.rlike(r"^\[.*\]$")
+    return isbn.let(F.transform(F.split(_c(text), r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda rows: isbn.let(F.coalesce(F.array_position(F.transform(rows, head), True), F.lit(0)), lambda begin: isbn.let(_pairs(F.filter(rows, lambda x, i: (begin > 0) & (i + 1 > begin) & x.contains("=") & ~head(x))), _ids)))
+
+
+def _pairs(lines: Column) -> Column:
+    return F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, "=", 1))).alias("k"), F.trim(F.regexp_replace(x, "^[^=]*=", "")).alias("v")))
+
+
+def _ids(pairs: Column) -> Column:
     number = F.transform(F.filter(pairs, lambda p: p["k"].isin(*NUMBER_KEYS)), lambda p: plausible(p["v"]))
     ssid = F.transform(F.filter(pairs, lambda p: p["k"].isin(*SSID_KEYS)), lambda p: F.nullif(p["v"], F.lit("")))
     first = lambda a: F.get(F.filter(a, lambda x: x.isNotNull()), F.lit(0))
@@ -62,9 +65,8 @@ def stem(path: Column | str) -> Column:
 
 def stem_ids(text: Column | str) -> Column:
     """struct(isbn, ssid): an acceptable number, and a run of just 8 digits that isn't in it."""
-    x = _c(text)
-    ssid = F.nullif(F.regexp_extract(x, "(?<![0-9])([0-9]{8})(?![0-9])", 1), F.lit(""))
-    return F.struct(isbn.extract(x).alias("isbn"), ssid.alias("ssid"))
+    ssid = lambda x: F.nullif(F.regexp_extract(x, "(?<![0-9])([0-9]{8})(?![0-9])", 1), F.lit(""))
+    return isbn.let(text, lambda x: F.struct(isbn.extract_gated(x).alias("isbn"), ssid(x).alias("ssid")))
 
 
 def ids_if_valid(ids: Column, strict: int) -> Column:

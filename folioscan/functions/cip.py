@@ -40,7 +40,6 @@ def is_page(raw: Column | str) -> Column:
 
 def book_number(raw: Column | str) -> Column:
     """The number of a page: by lines, then by any run with a prefix in the whole."""
-    a = lines(raw)
-    whole = F.regexp_replace(F.array_join(a, " "), r"\s+", " ")
-    runs = F.transform(F.regexp_extract_all(whole, F.lit(rf"97[89][0-9\s{isbn.DASHES}]{{4,}}[0-9]"), F.lit(0)), isbn.cleaned)
-    return F.coalesce(isbn.extract_lines(a), F.get(F.filter(runs, lambda x: isbn.acceptable(x)), F.lit(0)))
+    whole = lambda a: F.regexp_replace(F.array_join(a, " "), r"\s+", " ")
+    runs = lambda a: F.transform(F.regexp_extract_all(whole(a), F.lit(rf"97[89][0-9\s{isbn.DASHES}]{{4,}}[0-9]"), F.lit(0)), isbn.cleaned)
+    return isbn.let(lines(raw), lambda a: F.coalesce(isbn.extract_lines(a), F.get(F.filter(runs(a), lambda x: isbn.acceptable(x)), F.lit(0))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscan.functions.isbn import _c
+from folioscan.functions.isbn import _c, let
 from folioscan.functions.meta import name, stem, suffix
 from folioscan.options import Options
 
@@ -16,10 +16,10 @@ def clean_stem(text: Column | str) -> Column:
 
 def without_tag(text: Column | str, tag: Column | str) -> Column:
     """text, where the first place with the tag's characters, dashes between them allowed, is one underscore."""
-    x, t = _c(text), _c(tag)
-    hit = F.regexp_substr(x, F.array_join(F.split(t, ""), "-?"))
-    at = F.instr(x, hit)
-    return F.when(hit.isNull() | (t == ""), x).otherwise(F.concat(F.substr(x, F.lit(1), at - 1), F.lit("_"), F.substr(x, at + F.length(hit))))
+    t = _c(tag)
+    pattern = F.array_join(F.split(t, ""), "-?")
+    cut = lambda x, hit, at: F.concat(F.substr(x, F.lit(1), at - 1), F.lit("_"), F.substr(x, at + F.length(hit)))
+    return let(text, lambda x: let(F.regexp_substr(x, pattern), lambda hit: F.when(hit.isNull() | (t == ""), x).otherwise(let(F.instr(x, hit), lambda at: cut(x, hit, at)))))
 
 
 def fitted(text: Column, ending: Column, longest: int) -> Column:

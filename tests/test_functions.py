@@ -9,6 +9,8 @@ from folioscan.functions import cip, isbn, meta, naming
 from folioscan.options import Options, extensions
 from folioscan.sources import mobi
 
+N = "9787894465412"
+
 
 def one(spark, value, column, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(column(F.col("x")).alias("y")).first().y
@@ -101,6 +103,26 @@ def test_names(spark):
     assert (i.isbn, i.ssid) == (None, "96395223")
 
 
+def test_long_expressions_stand_once(spark):
+    """What is named several times inside of a higher-order function is bound: it would else run as often, or for each element."""
+    tree = lambda column: spark.range(1).select(F.lit("x").alias("x")).select(column)._jdf.queryExecution().analyzed().toString()
+    assert tree(meta.bookinfo("x")).count("split(x") == 1
+    assert tree(isbn.extract(F.reverse("x"))).count("reverse(x") == 1
+    assert tree(isbn.extract_lines(F.split("x", "a"))).count("split(x") == 1
+    assert tree(isbn.from_keyword(F.split("x", "a"))).count("split(x") == 1
+    assert tree(cip.book_number(F.split("x", "a"))).count("split(x") == 1
+    assert tree(naming.without_tag(F.reverse("x"), F.col("x"))).count("reverse(x") == 1
+
+
+@pytest.mark.parametrize(
+    ("lines", "want"),
+    [(["图书", f"{N[:7]}", N[7:], "定价"], N), (["图书", "。", ""], None), (["ISBN 978-7-89446", "－541-2"], N), ([N[:9], "图书", N[9:]], N), (["　", N], N), (["9787894465", None, "412"], N), ([], None), (None, None)],
+)
+def test_lines_that_join(spark, lines, want):
+    """Neighbours of which one can't take part aren't joined; all lines are, from three on."""
+    assert one(spark, lines, isbn.extract_lines, "array<string>") == want
+
+
 def test_options():
     assert extensions((".PDF", "epub")) == ("pdf", "epub")
     for bad in ({"rename_mode": 5}, {"longest_name": 3}, {"strict": True}):

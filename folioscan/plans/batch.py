@@ -75,24 +75,24 @@ def run(files: DataFrame, extract, options: Options = Options(), root: str = "")
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with index (from 1) by order. Never in one task: ranges are sorted apart, and the counts of those before added."""
+    """rows with index (from 1) by order, and total. Never in one task: ranges are sorted apart, and the counts of those before
+    added. rows are computed once: kept before the ranges are drawn, which would else compute them all for a sample."""
+    rows = rows.persist()
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
     part = F.shiftright("_at", 33)
     runs = placed.groupBy(part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
-    runs = runs.withColumn("_before", before).drop("_n")
+    runs = runs.withColumn("_before", before).withColumn("total", F.sum("_n").over(Window.partitionBy())).drop("_n")
     return placed.withColumn("_part", part).join(F.broadcast(runs), "_part").withColumn("index", F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_part", "_at", "_first", "_before")
 
 
 def entries(routed_: DataFrame) -> DataFrame:
     """What a listener of a batch gets: old, new, elapsed, tag, index, total, error; by path."""
-    total = routed_.agg(F.count(F.lit(1)).alias("total"))  # one row
     elapsed = F.col("elapsed") if "elapsed" in routed_.columns else F.lit(None).cast("double")
     new = F.concat_ws("/", "folder", "name")
-    out = numbered(routed_.select(F.col("path").alias("old"), new.alias("new"), elapsed.alias("elapsed"), callback_tag(F.col("outcome")).alias("tag"), "error"), "old")
-    return out.crossJoin(F.broadcast(total))
+    return numbered(routed_.select(F.col("path").alias("old"), new.alias("new"), elapsed.alias("elapsed"), callback_tag(F.col("outcome")).alias("tag"), "error"), "old")
 
 
 def staged(rows: DataFrame) -> DataFrame:

@@ -195,6 +195,20 @@ def test_suppression_of_many_groups(spark):
     assert "FlatMapGroups" not in plan  # a call for each group costs about a millisecond
 
 
+def test_entries_compute_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.range(1000).selectExpr("lpad(id, 4, '0') AS path", "'success' AS folder", "'n' AS name", "'failed' AS outcome", "cast(null AS string) AS error")
+    got = batch.entries(rows.mapInPandas(count, rows.schema)).orderBy("old").collect()
+    assert [(r["index"], r.total) for r in got] == [(i + 1, 1000) for i in range(1000)]
+    assert seen.value == 1000
+
+
 def test_stream(spark, tmp_path):
     from folioscan.streaming import watch
 
